@@ -201,6 +201,7 @@ F = SimpleNamespace(
     array_contains=_call("array_contains"), array_max=_call("array_max"),
     array_min=_call("array_min"), array_sort=_call("array_sort"),
     map_contains_key=_call("map_contains_key"), map_from_entries=_call("map_from_entries"),
+    map_entries=_call("map_entries"),
     try_element_at=_call("try_element_at"), element_at=_element_at, slice=_slice,
     lower=_call("lower"), upper=_call("upper"), trim=_call("trim"), length=_call("length"),
     substring=_call("substring"), substring_index=_substring_index, replace=_call("replace"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from vitrine.functions.core import let
 from vitrine.functions.sqltext import Column, F
 
 from vitrine.functions.text import first_truthy  # A1, re-exported
@@ -74,15 +75,17 @@ def last_wins_map(entries: Column) -> Column:
     """
     keyed = F.transform(F.filter(entries, lambda e: e["k"].isNotNull()),
                         lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v")))
-    s = F.array_sort(keyed)
-    n = F.size(s)
-    firsts = F.filter(s, lambda x, j: F.when(j == 0, F.lit(True))
-                      .otherwise(F.element_at(s, j)["k"] != x["k"]))
-    lasts = F.filter(s, lambda x, j: F.when(j == n - 1, F.lit(True))
-                     .otherwise(F.element_at(s, j + 2)["k"] != x["k"]))
-    runs = F.zip_with(firsts, lasts, lambda f, l: F.struct(f["i"].alias("i"), l["k"].alias("k"),
-                                                            l["v"].alias("v")))
-    ordered = F.array_sort(runs)
+
+    def runs(s):
+        n = F.size(s)
+        firsts = F.filter(s, lambda x, j: F.when(j == 0, F.lit(True))
+                          .otherwise(F.element_at(s, j)["k"] != x["k"]))
+        lasts = F.filter(s, lambda x, j: F.when(j == n - 1, F.lit(True))
+                         .otherwise(F.element_at(s, j + 2)["k"] != x["k"]))
+        return F.zip_with(firsts, lasts, lambda f, l: F.struct(
+            f["i"].alias("i"), l["k"].alias("k"), l["v"].alias("v")))
+
+    ordered = F.array_sort(let(F.array_sort(keyed), runs))
     return F.map_from_entries(F.transform(ordered, lambda r: F.struct(r["k"], r["v"])))
 
 
