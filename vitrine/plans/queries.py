@@ -260,6 +260,61 @@ def product_json(spark, sf):
     return resp.select("request_id", F.to_json("response").alias("json"))
 
 
+def _catalogue_structured(spark, sf):
+    from vitrine.plans.extract import with_structured
+    caps = catalogue.captures(spark, sf).where("strategy = 'HTTPX'")
+    return with_structured(shred_pages(caps))
+
+
+def base_url(spark, sf):
+    """H2: base URL of every raw page (no <base> there: the page URL)."""
+    from vitrine.operators.shred import base_url_expr
+    return shred_pages(_t(spark, sf, "pages")).select("page_id", base_url_expr().alias("base_url").col)
+
+
+def jsonld_products(spark, sf):
+    """H4/H5: JSON-LD documents and product nodes per catalogue page."""
+    from vitrine.operators.structured import jsonld_items
+    st = _catalogue_structured(spark, sf)
+    return st.select("page_id",
+                     F.coalesce(F.size(jsonld_items().col), F.lit(0)).alias("n_items"),
+                     F.coalesce(F.size("jl"), F.lit(0)).alias("n_products"))
+
+
+def _scope_names(col):
+    def q(spark, sf):
+        st = _catalogue_structured(spark, sf)
+        first = F.try_element_at(F.col(col), F.lit(1))
+        return st.select("page_id", first["name"].alias("name"), first["price"].alias("price"))
+    return q
+
+
+def meta_tags(spark, sf):
+    """H8: last-wins meta map per catalogue page."""
+    st = _catalogue_structured(spark, sf)
+    return st.select("page_id", F.col("meta")["og:title"].alias("og_title"),
+                     F.col("meta")["product:price:currency"].alias("price_currency"),
+                     F.coalesce(F.size("meta"), F.lit(0)).alias("n_meta"))
+
+
+def enabled_buy_buttons(spark, sf):
+    """Enabled buttons and submit inputs per catalogue page."""
+    from vitrine.functions.sqltext import F as SF
+    sh = shred_pages(catalogue.captures(spark, sf).where("strategy = 'HTTPX'"))
+    buttons = SF.concat(N.select_nodes(N.tag_in("button")),
+                        N.select_nodes(N.all_of(N.tag_in("input"), N.attr_is("type", "submit"))))
+    return sh.select("page_id", SF.coalesce(SF.size(SF.filter(buttons, N.enabled())), SF.lit(0))
+                     .alias("n_enabled").col,
+                     SF.coalesce(SF.size(buttons), SF.lit(0)).alias("n_buttons").col)
+
+
+def response_envelope(spark, sf):
+    """The envelope fields of every catalogue request."""
+    resp = K.to_response(K.resolve_captures(catalogue.captures(spark, sf), catalogue.requests(spark, sf)))
+    return resp.select("request_id", "response.success", "response.error", "response.strategy_used",
+                       "response.debug", F.col("response.data").isNull().alias("no_data"))
+
+
 QUERIES: dict[str, Q] = {
     "page_titles": page_titles,
     "page_node_counts": page_node_counts,
@@ -285,6 +340,13 @@ QUERIES: dict[str, Q] = {
     "shortest_by_length": shortest_by_length,
     "distinct_keep_order": distinct_keep_order,
     "union_ranked": union_ranked,
+    "base_url": base_url,
+    "jsonld_products": jsonld_products,
+    "microdata_products": _scope_names("md"),
+    "rdfa_products": _scope_names("rd"),
+    "meta_tags": meta_tags,
+    "enabled_buy_buttons": enabled_buy_buttons,
+    "response_envelope": response_envelope,
     "products": products,
     "product_json": product_json,
     "product_title": _field_query("product.title"),
@@ -452,6 +514,24 @@ ORACLES: dict[str, str] = {
         CASE WHEN e.dead THEN 'no PLAYWRIGHT capture' END AS error,
         e.title, e.price, e.currency, e.stock, e.brand, e.sku
         FROM {_REQUEST_EXP} e JOIN part ON part.p_partkey = e.k""",
+    "base_url": "SELECT page_id, url AS base_url FROM pages",
+    "jsonld_products": """SELECT p_partkey * 2 AS page_id,
+        CAST(CASE p_partkey % 10 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_items,
+        CAST(CASE WHEN p_partkey % 10 IN (0, 1) THEN 1 ELSE 0 END AS INTEGER) AS n_products FROM part""",
+    "microdata_products": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 2 THEN p_name END AS name,
+        CASE WHEN p_partkey % 10 = 2 THEN printf('%.2f', p_retailprice) END AS price FROM part""",
+    "rdfa_products": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 3 THEN p_name END AS name,
+        CASE WHEN p_partkey % 10 = 3 THEN printf('%.2f', p_retailprice) END AS price FROM part""",
+    "meta_tags": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 4 THEN p_name END AS og_title,
+        CASE WHEN p_partkey % 10 = 4 THEN 'GBP' END AS price_currency,
+        CAST(CASE p_partkey % 10 WHEN 4 THEN 5 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS n_meta FROM part""",
+    "enabled_buy_buttons": """SELECT p_partkey * 2 AS page_id,
+        CAST(CASE WHEN p_partkey % 10 IN (5, 7) THEN 1 ELSE 0 END AS INTEGER) AS n_enabled,
+        CAST(CASE WHEN p_partkey % 10 IN (5, 6, 7) THEN 1 ELSE 0 END AS INTEGER) AS n_buttons FROM part""",
+    "response_envelope": """SELECT p_partkey AS request_id, p_partkey % 20 != 19 AS success,
+        CASE WHEN p_partkey % 20 = 19 THEN 'no PLAYWRIGHT capture' END AS error,
+        CASE WHEN p_partkey % 20 = 19 THEN NULL WHEN p_partkey % 10 = 9 OR p_partkey % 20 = 8 THEN 'PLAYWRIGHT'
+             ELSE 'HTTPX' END AS strategy_used, false AS debug, p_partkey % 20 = 19 AS no_data FROM part""",
     "product_title": _field_sql("title"),
     "product_description": _field_sql("description"),
     "product_canonical_url": _field_sql("canonical_url"),
