@@ -258,6 +258,16 @@ def _shred_batches(batches: Iterable[pa.RecordBatch], html_col: str,
         yield pa.RecordBatch.from_arrays(arrays, names=keep + ["nodes", "page_text", "shred_error"])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the input over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism) when it arrives in fewer splits, e.g. one small file.
+
+    A large input already has enough splits and is left as is (no shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def shred_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
     """H1: one parse per page -> ``nodes ARRAY<node>``, ``page_text`` BINARY, ``shred_error``.
 
@@ -265,6 +275,8 @@ def shred_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
     not needed after shredding). Filters on the captures must be applied
     before this call: Catalyst cannot push predicates through ``mapInArrow``.
     """
+    if not df.isStreaming:
+        df = spread(df)
     keep = [f.name for f in df.schema.fields if f.name != html_col]
     out_schema = T.StructType(
         [f for f in df.schema.fields if f.name != html_col]
