@@ -24,6 +24,11 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared checkpoint folder and read it.
 

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import simhash_trie
-from vitrine.llm.common import table
+from vitrine.llm import bm25_decontam, langid_bigru, line_chunks, quality_pu, sentencepiece_offsets, simhash_trie, toxicity_fm, url_rules
+from vitrine.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TOXIC_FROM = 0.7
+GOOD_FROM = 0.3
+
 
 def query(oracle: str | None = None):
     def register(f):
@@ -23,6 +26,103 @@ def query(oracle: str | None = None):
     return register
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity_fm.FactorizationMachine:
+    """Fitted on the labelled documents outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 3) != 1)
+    return toxicity_fm.train(table(spark, sf_dir, "documents"), labels)
+
+
+@query()
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    scored = toxicity_fm.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"))
+
+
+_OP2_ORACLE = f"""
+WITH lines AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), hashed AS (
+  SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
+), marked AS (
+  SELECT doc_id, l, list_transform(range(1, len(h) + 1), lambda i:
+    ((h[i] % {line_chunks.PRIME} + coalesce(CASE WHEN i > 1 THEN h[i - 1] END % {line_chunks.PRIME} * {line_chunks.BASE} % {line_chunks.PRIME}, 0))
+      % {line_chunks.PRIME}) % {line_chunks.DIVISOR} = 0) AS m FROM hashed
+), ends AS (
+  SELECT doc_id, l, list_append(list_filter(range(1, len(l) + 1), lambda i: i >= 2 AND i <= len(l) - 2 AND m[i] AND NOT m[i - 1]), len(l)) AS e FROM marked
+), spans AS (
+  SELECT doc_id, l, unnest(list_transform(range(1, len(e) + 1), lambda k:
+    {{'a': CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END, 'b': e[k]}})) AS s FROM ends
+), chunks AS (
+  SELECT doc_id, s.a AS a, s.b AS b, array_to_string(l[s.a:s.b], chr(10)) AS chunk FROM spans WHERE s.b > s.a
+), gone AS (
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS r FROM chunks) WHERE r > 1
+), per_doc AS (
+  SELECT doc_id, list({{'a': a, 'b': b}}) AS g FROM gone GROUP BY doc_id
+), result AS (
+  SELECT d.doc_id, d.l, coalesce(list_sum(list_transform(g, lambda x: x.b - x.a + 1)), 0)::BIGINT AS lines_removed, coalesce(len(g), 0)::BIGINT AS chunks_removed,
+         list_filter(d.l, lambda x, i: g IS NULL OR len(list_filter(g, lambda y: y.a <= i AND i <= y.b)) = 0) AS kept
+  FROM lines d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+)
+SELECT doc_id, len(l)::BIGINT AS lines_before, lines_removed, chunks_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM result
+"""
+
+
+@query(_OP2_ORACLE)
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    out = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_before", "lines_removed", "chunks_removed",
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from trusted positives and unlabelled texts outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    learn = crc_fold("doc_id", 5) != 0
+    good = table(spark, sf_dir, "labels").where(learn & (F.col("quality") == 1))
+    model = quality_pu.train(docs.where(learn), good)
+    return quality_pu.score(docs, model).select(
+        "doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op5_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them; ``span_bytes`` is what the pieces' spans cover."""
+    wanted = ("n_tokens", "ids_sha256", "decoded_sha256", "span_bytes")
+    return sentencepiece_offsets.encode(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=wanted).select("doc_id", *wanted)
+
+
+@query()
+def op7_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return bm25_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_langid_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid_bigru.train(docs.where(crc_fold("doc_id", 3) != 1))
+    return langid_bigru.predict(docs, model).select(
+        "doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_rules.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query()
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest doc_id of its component."""
