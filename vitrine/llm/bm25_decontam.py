@@ -27,7 +27,8 @@ items (their sum is checked first), one pass over the texts for each. Texts are
 never shuffled, and tasks are independent.
 
 Defined cases: a null or empty text has no passage; items that are null or have
-no word are left out; a one-word item is all answer; equal items are all reported; repeated rows are each
+no word are left out; a one-word item is all answer; a repeated item row counts
+once, equal texts under different ids are all reported; repeated text rows are each
 reported; with no items nothing is found; other columns pass through
 ``clean``.
 """
@@ -262,7 +263,7 @@ def matches(index: Index, texts: list[str], min_score: float, min_overlap: float
 def index_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", min_score: float = MIN_SCORE,
                  shard_chars: int = SHARD_CHARS) -> Iterator[Index]:
     """Indexes of the items, each of about ``shard_chars`` characters at most; statistics are those of all items."""
-    clean = items.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(r"\w"))
+    clean = items.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(r"\S")).distinct()
     clean = written(clean.withColumn("words", _words_column(F.col("text"))).where(F.size("words") > 0), "items")
     size = clean.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.size("words")).alias("mean")).first()
     if not size["n"]:
