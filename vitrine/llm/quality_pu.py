@@ -7,9 +7,9 @@ part falls below 0, the step goes up its gradient instead (Kiryo et al., 2017).
 g is a network of one hidden layer over features of the text's form.
 
 The prior is estimated from the two samples: a first network tells positives
-from unlabelled texts, and over score thresholds the least ratio of the
-unlabelled share above to the positives' share above bounds pi (no set can hold
-relatively more positives than all its unlabelled texts).
+from unlabelled texts, and the least ratio of the unlabelled share above a score threshold
+to the positives' share above it bounds pi (no set can hold relatively more
+positives than all its unlabelled texts).
 
 Training: bounded samples (``PER_SET`` positives and as many unlabelled texts,
 by a hash of the id), features computed by executors, the numpy fit on the
@@ -113,12 +113,17 @@ def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int,
 
 
 def class_prior(pos_scores: np.ndarray, unl_scores: np.ndarray) -> float:
-    """Least ratio of shares above a threshold, with a margin for small samples."""
-    cuts = np.quantile(pos_scores, np.linspace(0.02, 0.7, 60))
+    """Least ratio of the shares above a threshold, less four standard errors, over thresholds at which part of the positives lie below.
+
+    Above them the unlabelled texts are (almost) positives only. A prior that is
+    a little too small costs the positives some certainty; one that is too large
+    would hide the negatives, hence the lower bound.
+    """
+    cuts = np.quantile(pos_scores, np.linspace(0.1, 0.6, 51))
     p = np.array([(pos_scores >= c).mean() for c in cuts])
-    u = np.array([(unl_scores >= c).mean() for c in cuts])
-    margin = 1 / np.sqrt(len(unl_scores)) / 2
-    return float(np.clip(((u + margin) / p).min(), 0.02, 0.98))
+    u = np.array([max((unl_scores >= c).mean(), 1 / len(unl_scores)) for c in cuts])
+    error = np.sqrt((1 - p) / (p * len(pos_scores)) + (1 - u) / (u * len(unl_scores)))
+    return float(np.clip((u / p * (1 - 4 * error)).min(), 0.02, 0.98))
 
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network | None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bm25_decontam, langid_bigru, line_chunks, quality_pu, sentencepiece_offsets, simhash_trie, toxicity_fm, url_rules
+from vitrine.llm import bm25_decontam, bwt_dedup, cover_tree, langid_bigru, line_chunks, quality_pu, sentencepiece_offsets, simhash_trie, toxicity_fm, url_rules
 from vitrine.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,30 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
 
 
+_OP4_ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings
+), n AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE e IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {cover_tree.MIN_COSINE}
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT reach.u, links.w FROM reach JOIN links ON reach.w = links.u
+), comp AS (SELECT u, min(w) AS c FROM reach GROUP BY u
+), counted AS (SELECT u, count(*) AS k FROM links GROUP BY u)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN comp ON vec_id = comp.u LEFT JOIN counted ON vec_id = counted.u
+"""
+
+
+@query(_OP4_ORACLE)
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every embedding."""
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op5_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them; ``span_bytes`` is what the pieces' spans cover."""
@@ -102,6 +126,41 @@ def op5_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_offsets.encode(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=wanted).select("doc_id", *wanted)
 
 
+# Bytes as two hex digits each; a text's strings of LENGTH bytes start at every second digit.
+_OP6_ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(0, greatest(0, len(x) // 2 - {bwt_dedup.LENGTH - 1}))) AS p, x FROM d
+), g AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, {2 * bwt_dedup.LENGTH}) AS t FROM s
+), f AS (
+  SELECT t, min(doc_id) AS first FROM g GROUP BY t HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT g.doc_id, p FROM g JOIN f ON g.t = f.t WHERE g.doc_id > f.first
+), opens AS (
+  SELECT doc_id, p, p > coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {bwt_dedup.LENGTH}, -1) AS o FROM gone
+), runs AS (
+  SELECT doc_id, p, sum(o::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM opens
+), spans AS (
+  SELECT doc_id, r, min(p) AS a, max(p) + {bwt_dedup.LENGTH} AS b FROM runs GROUP BY doc_id, r
+), per_doc AS (
+  SELECT doc_id, list({{'a': a, 'b': b}} ORDER BY a) AS l, sum(b - a)::BIGINT AS n, count(*)::BIGINT AS k FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN l IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(l) + 2), lambda i:
+    substr(x, 2 * CASE WHEN i > 1 THEN l[i - 1].b ELSE 0 END + 1, 2 * (CASE WHEN i <= len(l) THEN l[i].a ELSE len(x) // 2 END - CASE WHEN i > 1 THEN l[i - 1].b ELSE 0 END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
+@query(_OP6_ORACLE)
+def op6_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the removal of repeated 50-byte strings leaves of every document."""
+    out = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op7_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""

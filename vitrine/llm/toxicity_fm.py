@@ -9,8 +9,9 @@ mention) beyond what each adds alone. The pair sum costs one pass, as
 Training: a bounded sample of labelled rows (``PER_LABEL`` of each label, by a
 hash of the id, so the sample does not grow with the table); the terms of the
 sample are hashed on the executors and the numpy fit runs on the driver over
-that bounded sample. Terms of fewer than ``MIN_DOCS`` sampled texts are left
-out. Scoring is one pass of independent tasks over every whole text.
+that bounded sample. Of the terms in ``MIN_DOCS`` sampled texts or more it takes
+those whose share of label 1 is not by chance (``EVIDENCE``), ``LEAST_TERMS`` at
+least and ``MOST_TERMS`` at most. Scoring is one pass of independent tasks over every whole text.
 
 Defined cases: null and empty texts are scored by the bias alone; rows whose
 label or id is null are not learned from, an id that repeats is learned from
@@ -38,6 +39,10 @@ FACTORS = 8
 PER_LABEL = 3000
 #: Sampled texts that a term must occur in.
 MIN_DOCS = 3
+#: Texts times divergence of a term's share of label 1 from the sample's, in nats: a chance of about one in 1,000.
+EVIDENCE = 7.0
+LEAST_TERMS = 64
+MOST_TERMS = 8192
 EPOCHS = 30
 #: Words that a task remembers the bucket of before it starts afresh.
 MEMO_WORDS = 300_000
@@ -66,6 +71,13 @@ class FactorizationMachine:
         return _sigmoid(self.bias + _forward(row, at, len(terms), self.weights, self.factors)[0])
 
 
+def _evidence(ones: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    p = ones / counts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        one, zero = p * np.log(p / share), (1 - p) * np.log((1 - p) / (1 - share))
+    return counts * (np.nan_to_num(one) + np.nan_to_num(zero))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -86,8 +98,13 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epo
     if positives in (0, n):
         share = positives / n if n else 0.0
         return FactorizationMachine(float(np.log((share + 1e-9) / (1 - share + 1e-9))), empty, np.zeros(0), np.zeros((0, factors)))
-    buckets, counts = np.unique(np.concatenate(terms), return_counts=True)
-    buckets = buckets[counts >= min_docs]
+    buckets, of, counts = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
+    ones = np.bincount(of, weights=np.repeat(labels, [len(t) for t in terms]))
+    weight = _evidence(ones, counts, positives / n)
+    weight[counts < min_docs] = -1
+    ranked = np.argsort(-weight, kind="stable")[:MOST_TERMS]
+    taken = max(int((weight[ranked] >= EVIDENCE).sum()), min(LEAST_TERMS, int((weight[ranked] >= 0).sum())))
+    buckets = np.sort(buckets[ranked[:taken]])
     if not len(buckets):
         return FactorizationMachine(float(np.log(positives / (n - positives))), empty, np.zeros(0), np.zeros((0, factors)))
     rows = []
