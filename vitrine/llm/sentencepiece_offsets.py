@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,12 @@ from vitrine.llm.common import text_or_empty
 SPACE = "▁"
 #: Largest model file that is sent to the tasks.
 MODEL_BYTES = 64 << 20
-#: Words (of at most MEMO_CHARS characters) whose pieces a task remembers before it starts afresh.
-MEMO_WORDS = 200_000
+#: Words (of at most MEMO_CHARS characters) whose pieces a worker remembers: so
+#: many new ones, and as many from before that were not used again.
+MEMO_WORDS = 400_000
 MEMO_CHARS = 64
+#: Symbols of a word from which merges are kept in a heap instead of a list.
+HEAP_FROM = 100
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _BPE = 2
@@ -103,6 +107,50 @@ class CharacterMap:
         return self.strings[start:self.strings.index(b"\0", start)], found[1]
 
 
+def _word_patterns(pieces: list[str]) -> tuple[re.Pattern, re.Pattern]:
+    """Two ways to cut a normalised text where no piece reaches across.
+
+    Words: before a space symbol that follows another character, and around
+    control characters that no piece holds. Parts of words: also between a
+    letter or digit and a mark that no piece holds behind one.
+    """
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return re.compile(".+", re.S), re.compile(".+", re.S)
+    used = set().union(*pieces)
+    signs = {c for c in used if not c.isalnum() and c != SPACE}
+    glue = {b for p in pieces for a, b in zip(p, p[1:]) if b in signs and a not in signs and a != SPACE}
+    apart = "".join(c for c in "\n\r\t\v\f" if c not in used)
+
+    def one_of(chars: set[str]) -> str:
+        return f"[{''.join(map(re.escape, sorted(chars)))}]" if chars else "(?!)"
+
+    sign, letter = one_of(signs), f"[^{SPACE}{apart}{''.join(map(re.escape, sorted(signs)))}]"
+    on = f"(?:{one_of(glue)}{sign}*{letter}*)*"
+    control = f"|[{apart}]+" if apart else ""
+    return (re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + control),
+            re.compile(f"{SPACE}+{sign}*{letter}*{on}|(?:{sign}+{letter}*|{letter}+){on}" + control))
+
+
+class Spelling:
+    """The bytes of each id, and their concatenation for arrays of ids."""
+
+    def __init__(self, words: list[bytes]):
+        self.flat = np.frombuffer(b"".join(words), np.uint8)
+        self.sizes = np.array([len(w) for w in words], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        out = []
+        for lo in range(0, len(ids), 1 << 18):
+            part = ids[lo:lo + (1 << 18)]
+            size = self.sizes[part]
+            ends = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(self.starts[part] - ends + size, size)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.flat[at].tobytes())
+        return b"".join(out)
+
+
 class Model:
     """A SentencePiece BPE model: normaliser, encoder and decoder."""
 
@@ -131,20 +179,26 @@ class Model:
             elif number == 3:
                 spec = dict(_fields(value))
                 charsmap, self.dummy, self.squeeze, self.escape = spec.get(2, b""), spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
-        if kind != _BPE or suffix or not self.escape or {USER_DEFINED, UNUSED} & set(self.types):
-            raise ValueError("only BPE models with escaped space prefixes and without user-defined or unused pieces are supported")
+        if kind != _BPE or not fallback or suffix or not self.escape or {USER_DEFINED, UNUSED} & set(self.types):
+            raise ValueError("only BPE models with byte fallback and escaped space prefixes, and without user-defined or unused pieces, are supported")
         self.map = CharacterMap(charsmap)
-        self.rank = {p: (-s, i) for i, (p, s, t) in enumerate(zip(self.pieces, scores, self.types)) if t == NORMAL}
-        self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE} if fallback else {}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        self.unknown_id = self.types.index(UNKNOWN)
-        self.unknown_text = unknown.decode()
-        used = set().union(*self.rank) if self.rank else set()
-        apart = "".join(c for c in "\n\r\t\v\f" if c not in used)  # in no piece: nothing merges across them
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        self.words = re.compile(".+", re.S) if inner else re.compile(
-            f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]+" if apart else ""))
-        self.memo: dict[str, tuple] = {}
+        order = {x: k for k, x in enumerate(sorted({s for s, t in zip(scores, self.types) if t == NORMAL}, reverse=True))}
+        #: Place of a piece's score (equal scores: the leftmost pair goes first), and its id.
+        self.rank = {p: order[s] for p, s, t in zip(self.pieces, scores, self.types) if t == NORMAL}
+        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == NORMAL}
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
+        n = len(self.pieces)
+        self._types = np.array(self.types, np.int8)
+        self.byte_of = np.full(n, -1, np.int16)
+        self.byte_of[list(self.byte_ids.values())] = list(self.byte_ids)
+        self.words, self.parts = _word_patterns(list(self.rank))
+        self.size_of = np.array([len(p.encode()) for p in self.pieces], np.int64)
+        #: What each id stands for: in a decoded text, and as a number before a comma.
+        self.text_of = Spelling([unknown if t == UNKNOWN else b"" if t == CONTROL else bytes((int(p[3:5], 16),)) if t == BYTE
+                                 else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)])
+        self.number_of = Spelling([b"%d," % i for i in range(n)])
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- normalisation -------------------------------------------------------
 
@@ -209,16 +263,33 @@ class Model:
 
     def merge(self, word: str) -> list[str]:
         """BPE symbols of one word: always the best-scored pair, the leftmost of equals."""
+        if len(word) >= HEAP_FROM:
+            return self._merge_long(word)
+        symbols, get, none = list(word), self.rank.get, len(self.pieces)
+        ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            both = symbols[i] + symbols[i + 1]
+            symbols[i:i + 2] = [both]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] + both, none)
+            if i < len(ranks):
+                ranks[i] = get(both + symbols[i + 1], none)
+        return symbols
+
+    def _merge_long(self, word: str) -> list[str]:
         symbols = list(word)
         n, rank = len(symbols), self.rank
-        if n == 1 or word in rank and n == 2:
-            return [word]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int, str]] = []
+        heap: list[tuple[int, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
-            if 0 <= i and j < n and (hit := rank.get(both := symbols[i] + symbols[j])):
-                heapq.heappush(heap, (hit[0], i, j, both))
+            if 0 <= i and j < n and (place := rank.get(both := symbols[i] + symbols[j])) is not None:
+                heapq.heappush(heap, (place, i, j, both))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -234,78 +305,70 @@ class Model:
             offer(i, after[i])
         return [s for s in symbols if s]
 
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, bytes, str]:
-        """Ids, bytes of normalised text by piece (of an unknown symbol's bytes the last has them all), ids as text, decoded text."""
-        hit = self.memo.get(word)
-        if hit:
-            return hit
-        ids, sizes = [], []
-        for s in self.merge(word):
-            raw = s.encode()
-            known = self.rank.get(s)
-            if known:
-                ids.append(known[1])
-                sizes.append(len(raw))
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unknown_id)
-                sizes.append(len(raw))
-        hit = (np.array(ids, np.int32), np.array(sizes, np.int64), ",".join(map(str, ids)).encode(), self._joined(ids))
+    def word(self, word: str) -> bytes:
+        """The ids of one word, as int32; the word is remembered."""
+        ids = self.older.get(word)
+        if ids is None:
+            parts = self.parts.findall(word)
+            ids = b"".join([self.memo.get(p) or self.word(p) for p in parts]) if len(parts) > 1 else self._spelt(word)
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = hit
-        return hit
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, str]:
-        """Ids, first and end byte of each in ``text``, the ids joined by commas, and the decoded text."""
+                self.memo, self.older = {}, self.memo
+            self.memo[word] = ids
+        return ids
+
+    def _spelt(self, word: str) -> bytes:
+        symbols = self.merge(word)
+        ids = list(map(self.ids.get, symbols))
+        if None in ids:  # a symbol outside the vocabulary: its bytes
+            ids = [i for s, k in zip(symbols, ids) for i in ([self.byte_ids[b] for b in s.encode()] if k is None else [k])]
+        return array("i", ids).tobytes()
+
+    def _piece_sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of normalised text of each piece; of a character spelt in bytes the last byte has them all."""
+        sizes, byte = self.size_of[ids], self.byte_of[ids]
+        at = np.nonzero(byte >= 0)[0]
+        if len(at):
+            inner = (byte[at] & 0xC0) == 0x80
+            sizes[at] = 0
+            last = np.append(~inner[1:], True)
+            heads = at[~inner]
+            sizes[at[last]] = at[last] - heads + 1
+        return sizes
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first and the end byte of each in ``text``."""
         normal, origin = self.normalise(text)
-        found = [self.word(w) for w in self.words.findall(normal)]
-        if not found:
-            none = np.zeros(0, np.int32)
-            return none, none, none, b"", ""
-        ids, sizes, said, back = zip(*found)
-        ends = np.cumsum(np.concatenate(sizes))
-        starts = np.concatenate(([0], ends[:-1]))
-        decoded = "".join(back)
-        return (np.concatenate(ids), origin[starts].astype(np.int32), origin[ends].astype(np.int32), b",".join(said), self._unled(decoded, int(ids[0][0])))
-
-    # -- decoding ------------------------------------------------------------
+        ids = np.frombuffer(b"".join([self.memo.get(w) or self.word(w) for w in self.words.findall(normal)]), np.int32)
+        ends = np.cumsum(self._piece_sizes(ids))
+        starts = np.concatenate(([0], ends[:-1])) if len(ids) else ends
+        return ids, origin[starts].astype(np.int32), origin[ends].astype(np.int32)
 
-    def _joined(self, ids) -> str:
-        """The text of the ids, the leading space not yet dropped."""
-        out, run = [], bytearray()
-        for i in [*ids, -1]:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(_by_character(bytes(run)))
-                run.clear()
-            if i >= 0 and self.types[i] == UNKNOWN:
-                out.append(self.unknown_text)
-            elif i >= 0 and self.types[i] != CONTROL:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        return "".join(out)
+    def numbers(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.number_of(ids)[:-1]
 
-    def _unled(self, text: str, first_id: int) -> str:
-        """Drops the space that stands for the added prefix, if a piece (not a byte) begins the text with it."""
-        if (self.dummy or self.squeeze) and first_id not in self.byte_of and self.types[first_id] == NORMAL and text.startswith(" "):
-            return text[1:]
-        return text
+    # -- decoding ------------------------------------------------------------
 
     def decode(self, ids) -> str:
         """The text of any ids, as the library's ``decode``."""
-        ids = [int(i) for i in ids]
-        at = next((k for k, i in enumerate(ids) if self.types[i] != CONTROL), None)
-        if at is None:
+        ids = np.asarray(ids, np.int64)
+        types = self._types[ids]
+        ids, types = ids[types != CONTROL], types[types != CONTROL]
+        if not len(ids):
             return ""
-        while self.squeeze and at < len(ids) - 1 and self.pieces[ids[at]] == SPACE:  # all leading spaces go
-            at += 1
-        return self._unled(self._joined(ids[at:]), ids[at])
+        at = 0
+        if self.squeeze:  # all leading spaces go
+            while at < len(ids) - 1 and self.pieces[ids[at]] == SPACE:
+                at += 1
+        raw = self.text_of(ids[at:])
+        # the space that stands for the added prefix, if a piece (not a byte) begins the text with it
+        if (self.dummy or self.squeeze) and types[at] == NORMAL and raw[:1] == b" ":
+            raw = raw[1:]
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return _by_character(raw)
 
 
 def _by_character(raw: bytes) -> str:
@@ -333,6 +396,18 @@ OUTPUTS = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "n
            "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
+_MODELS: dict[bytes, Model] = {}
+
+
+def _model(data: bytes) -> Model:
+    """The model of a file's bytes; a worker keeps the last one, and the words it remembers, between tasks."""
+    key = hashlib.sha256(data).digest()
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(data)
+    return _MODELS[key]
+
+
 def _model_bytes(model_path: str) -> bytes:
     with open(model_path, "rb") as f:
         data = f.read(MODEL_BYTES + 1)
@@ -347,17 +422,18 @@ def encoding(text: Column, model_path: str, outputs: tuple[str, ...] = tuple(OUT
 
     @F.pandas_udf(", ".join(f"{o} {OUTPUTS[o]}" for o in outputs))
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Model(data)
+        model = _model(data)
         for texts in batches:
             rows: dict[str, list] = {o: [] for o in outputs}
             for t in texts:
-                ids, begins, ends, said, decoded = model.encode(t or "")
+                ids, begins, ends = model.encode(t or "")
+                decoded = model.decode(ids) if "decoded" in outputs or "decoded_sha256" in outputs else None
                 values = {"ids": ids, "begins": begins, "ends": ends, "n_tokens": len(ids), "decoded": decoded}
                 for o in outputs:
                     if o == "span_bytes":
                         rows[o].append(int((ends - begins).sum()))
                     elif o == "ids_sha256":
-                        rows[o].append(hashlib.sha256(said).hexdigest())
+                        rows[o].append(hashlib.sha256(model.numbers(ids)).hexdigest())
                     elif o == "decoded_sha256":
                         rows[o].append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
                     else:
@@ -380,7 +456,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
 
     @F.pandas_udf("string")
     def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Model(data)
+        model = _model(data)
         for lists in batches:
             yield pd.Series([model.decode(x) if x is not None else "" for x in lists])
 
