@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.1"
 
 def test_prior_and_separation():
     rng = np.random.default_rng(0)
-    pos, unl = rng.normal(2, 1, (800, 4)), np.concatenate((rng.normal(2, 1, (1200, 4)), rng.normal(-2, 1, (800, 4))))
+    pos, unl = rng.normal(2, 1, (4000, 4)), np.concatenate((rng.normal(2, 1, (6000, 4)), rng.normal(-2, 1, (4000, 4))))
     net = fit(pos, unl)
-    assert 0.3 < net.prior < 0.62
+    assert 0.45 < net.prior < 0.62
     assert (net.scores(rng.normal(2, 1, (500, 4))) >= 0.5).mean() > 0.95
     assert (net.scores(rng.normal(-2, 1, (500, 4))) < 0.5).mean() > 0.95
     assert fit(pos[:0], unl) is None and fit(pos, unl[:0]) is None

@@ -154,7 +154,8 @@ def train(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_co
     n_texts, n_trusted = texts.count(), trusted.count()
     unl = hash_sample(texts, "id", {1: n_texts}, F.lit(1), per_set).select("id", F.lit(0).alias("y"), _features_column(F.col("text")).alias("x"))
     chosen = hash_sample(trusted, "id", {1: n_trusted}, F.lit(1), per_set)
-    pos = texts.join(chosen, "id").select("id", F.lit(1).alias("y"), _features_column(F.col("text")).alias("x"))
+    # the ids are a bounded sample
+    pos = texts.join(F.broadcast(chosen), "id").select("id", F.lit(1).alias("y"), _features_column(F.col("text")).alias("x"))
     rows = unl.union(pos).toPandas()
     rows["first"] = [tuple(x) for x in rows["x"]]
     rows = rows.sort_values(["y", "id", "first"])
