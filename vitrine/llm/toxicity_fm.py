@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pd.Series([terms(t) for t in texts])
 
-    rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(chosen, "id")
+    # the sample's ids are bounded, the texts are not: those stay where they are
+    rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
             .select("id", "y", hashed("text").alias("terms")).toPandas())
     rows["first"] = [int(t[0]) if len(t) else -1 for t in rows["terms"]]
     rows = rows.sort_values(["id", "first"], kind="stable")  # the fit is the same whatever order rows arrive in
