@@ -16,31 +16,33 @@ def matrix(strings):
     return out, np.array([len(s) for s in strings])
 
 
-def test_merged_order_and_common_prefixes():
+def test_merged_intervals_and_common_prefixes():
     rng = np.random.default_rng(0)
-    strings = [bytes(rng.integers(97, 99, rng.integers(0, 14)).astype(np.uint8)) for _ in range(60)] + [b"abab"] * 5 + [b"\x00\x00", b"\xff"]
+    strings = [bytes(rng.integers(97, 99, rng.integers(0, 14)).astype(np.uint8)) for _ in range(60)] + [b"abab"] * 5 + [b"\x00\x00", b"\xff", b"ab" * 20]
     m, n = matrix(strings)
     cuts = [(0, 20), (20, 21), (21, len(strings))]
     shards = [Shard(m[a:b], n[a:b]) for a, b in cuts]
+    suffixes = []
     for s, (a, b) in zip(shards, cuts):
-        plain = sorted(((strings[a + k][o:], k, o) for k in range(b - a) for o in range(n[a + k] + 1)), key=lambda x: (x[0] + b"", x[1]))
-        # an end mark sorts before every byte, marks by string
-        marks = sorted(((tuple(c + 1 for c in t) + (0,), k, o) for t, k, o in plain), key=lambda x: (x[0], x[1]))
-        assert [(int(s.string[i]), int(s.offset[i])) for i in s.order] == [(k, o) for _, k, o in marks]
-    length = 20
-    shard_at, place, block, common = merged_intervals(shards, length)
-    got = []
-    for k, p in zip(shard_at, place):
-        i = shards[k].order[p]
-        got.append((cuts[k][0] + int(shards[k].string[i]), int(shards[k].offset[i])))
-    want = sorted(((tuple(c + 1 for c in strings[k][o:]) + (0,), k, o) for k in range(len(strings)) for o in range(n[k] + 1)), key=lambda x: (x[0], x[1]))
-    assert got == [(k, o) for _, k, o in want]
-    for i in range(1, len(want)):
-        x, y = want[i - 1][0][:-1], want[i][0][:-1]
+        want = sorted(((tuple(c + 1 for c in strings[a + k][o:]) + (0,), k, o) for k in range(b - a) for o in range(n[a + k] + 1)), key=lambda x: x[:2])
+        assert list(zip(s.string.tolist(), s.offset.tolist())) == [(k, o) for _, k, o in want]
+        assert s.transform.tolist() == [strings[a + k][o - 1] + 1 if o else 0 for _, k, o in want]
+        suffixes += [(a + k, o) for _, k, o in want]
+    texts = [strings[k][o:] for k, o in suffixes]
+
+    def shared(x, y):
         p = 0
         while p < min(len(x), len(y)) and x[p] == y[p]:
             p += 1
-        assert common[i] == min(p, length)
+        return p
+
+    for length in (1, 4, 30):
+        place, block, common = merged_intervals(shards, length)
+        assert common.tolist() == [max(min(length, shared(t, u)) for j, u in enumerate(texts) if j != i) for i, t in enumerate(texts)]
+        again = {t[:length] for i, t in enumerate(texts) if len(t) >= length and any(u[:length] == t[:length] for j, u in enumerate(texts) if j != i)}
+        assert sorted(place.tolist()) == [i for i, t in enumerate(texts) if len(t) >= length and t[:length] in again]
+        got = [texts[p][:length] for p in place]
+        assert got == sorted(got) and len({(b, g) for b, g in zip(block.tolist(), got)}) == len(set(got)) == (block.max() + 1 if len(block) else 0)
 
 
 @pytest.mark.parametrize("shard_strings", [3, 1000])

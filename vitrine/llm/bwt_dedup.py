@@ -56,7 +56,9 @@ from vitrine.llm.common import text_or_empty, written
 LENGTH = 50
 GRAM = 24
 GROUP_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+#: Contexts whose transforms are merged together, about: as many whole anchors' contexts.
+TOGETHER = 4000
 HOT_GROUPS = 500
 KEY_BITS = 40
 _PIECE = 1 << 20
@@ -90,11 +92,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _hash_rows(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's first bytes."""
+    """A 64-bit hash of each row and its length; rows hold zeros behind their length."""
     h = lengths.astype(np.uint64) * _MIX
-    for k in range(rows.shape[1]):
-        inside = lengths > k
-        h[inside] = h[inside] * _FACTOR + _TABLE[rows[inside, k]]
+    for column in np.ascontiguousarray(rows.T):
+        h *= _FACTOR
+        h += _TABLE[column]
     return _mixed(h)
 
 
@@ -196,6 +198,7 @@ class Group:
         self.a, self.size, self.who = a, b - a, doc
         width = 2 * length - min(GRAM, length)
         rows = self.buf[np.minimum(a[:, None] + np.arange(width), max(0, len(self.buf) - 1))] if len(a) else np.zeros((0, width), np.uint8)
+        rows[np.arange(width) >= self.size[:, None]] = 0
         name = _hash_rows(rows, self.size)
         order = np.lexsort((self.size, name, key))
         fresh = np.ones(len(order), bool)
@@ -228,6 +231,18 @@ def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(int(np.searchsorted(bucket, b)), int(np.searchsorted(bucket, b, side="right")))
 
 
+def _by_anchor(classes: np.ndarray, keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Consecutive classes, about TOGETHER of them, cut between different keys."""
+    if not len(classes):
+        return
+    heads = np.append(np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0], len(keys))
+    lo = 0
+    for hi in heads[1:].tolist():
+        if hi - lo >= TOGETHER or hi == len(keys):
+            yield classes[lo:hi]
+            lo = hi
+
+
 def _pack_documents(group_bytes: int):
     schema = pa.schema([("grp", pa.string()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -341,11 +356,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         alone[1:] &= ~same
         alone[:-1] &= ~same
         some = np.nonzero(~alone)[0]
-        if len(some):
-            best[some] = least_of_repeats(rows[head[some], 9:], csize[some], first[some], length)
+        text = rows[:, 9:]
+        for part_of in _by_anchor(some, ckey[some]):
+            best[part_of] = least_of_repeats(text[head[part_of]], csize[part_of], first[part_of], length)
         # a bit where the string also starts in a document before the entry's first
-        bit = (best[of] < least[:, None]).astype(np.uint64) << np.arange(offsets, dtype=np.uint64)
-        answer = np.bitwise_or.reduce(bit, axis=1)
+        answer = np.zeros(len(key), np.uint64)
+        for o in range(offsets):
+            answer |= (best[of, o] < least).astype(np.uint64) << np.uint64(o)
         out, at = [], 0
         for x in lists:
             out.append(_pack(answer[at:at + len(x)]))
