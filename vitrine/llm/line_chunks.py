@@ -82,7 +82,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Chunks to remove: ``(id, key, first, last)``; ``key`` tells texts of one id apart."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     found = base.select("id", "key", F.inline(chunks(F.col("text"), window, divisor)))
-    twice = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain exchanges and AQE can split a common hash
+    twice = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-hashes")
     named = (found.join(twice, "hash", "left_semi").groupBy("id", "key")
              .agg(F.collect_set(F.struct("first", "last")).alias("spans"))
              .select(F.col("id").alias("id2"), F.col("key").alias("key2"), "spans"))
@@ -91,7 +92,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  s["first"].alias("first"), s["last"].alias("last"),
                  F.array_join(F.slice(lines, s["first"], s["last"] - s["first"] + 1), "\n").alias("chunk")))))))
     texts = written(texts, "line-chunks")
-    keepers = texts.groupBy("chunk").agg(F.min(F.struct("id", "first")).alias("keeper"))
+    keepers = written(texts.groupBy("chunk").agg(F.min(F.struct("id", "first")).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-keepers")
     return (texts.join(keepers, "chunk")
             .where(~F.struct("id", "first").eqNullSafe(F.col("keeper")))
             .select("id", "key", "first", "last"))
