@@ -55,13 +55,15 @@ from vitrine.llm.common import text_or_empty, written
 
 LENGTH = 50
 GRAM = 24
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Contexts whose transforms are merged together, about: as many whole anchors' contexts.
-TOGETHER = 4000
+TOGETHER = 2000
 HOT_GROUPS = 500
 KEY_BITS = 40
-_PIECE = 1 << 20
+#: Positions, and contexts, that are worked on at once.
+_PIECE = 1 << 17
+_ROWS = 1 << 14
 _rng = np.random.default_rng(20)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -191,25 +193,42 @@ class Group:
             n = (b - a - length + 1)[warm]
             single = np.repeat(a[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             sdoc = np.repeat(doc[warm], n)
-            rows = self.buf[single[:, None] + np.arange(length)]
-            skey = _hash_rows(rows, np.full(len(single), length)) >> np.uint64(64 - KEY_BITS)
+            skey = np.zeros(len(single), np.uint64)
+            for lo in range(0, len(single), _ROWS):
+                at_once = single[lo:lo + _ROWS]
+                full = np.full(len(at_once), length)
+                skey[lo:lo + _ROWS] = _hash_rows(self._texts(at_once, full, length), full) >> np.uint64(64 - KEY_BITS)
             a, b = np.concatenate((a[~warm], single)), np.concatenate((b[~warm], single + length))
             doc, key = np.concatenate((doc[~warm], sdoc)), np.concatenate((key[~warm], skey))
         self.a, self.size, self.who = a, b - a, doc
         width = 2 * length - min(GRAM, length)
-        rows = self.buf[np.minimum(a[:, None] + np.arange(width), max(0, len(self.buf) - 1))] if len(a) else np.zeros((0, width), np.uint8)
-        rows[np.arange(width) >= self.size[:, None]] = 0
-        name = _hash_rows(rows, self.size)
+        name = np.zeros(len(a), np.uint64)
+        for lo in range(0, len(a), _ROWS):
+            name[lo:lo + _ROWS] = _hash_rows(self._texts(a[lo:lo + _ROWS], self.size[lo:lo + _ROWS], width), self.size[lo:lo + _ROWS])
         order = np.lexsort((self.size, name, key))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1]) | (self.size[order][1:] != self.size[order][:-1])
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(fresh) - 1
         head = order[fresh]
-        self.entry_key, self.entry_size, self.entry_rows = key[head], self.size[head], rows[head]
+        self.entry_key, self.entry_size, self.entry_at = key[head], self.size[head], a[head]
         self.entry_least = np.full(len(head), np.iinfo(np.int64).max)
         np.minimum.at(self.entry_least, self.entry, self.ids[doc])
 
+    def _texts(self, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """Rows of ``width`` bytes from the places, zeros behind each size."""
+        if not len(at):
+            return np.zeros((0, width), np.uint8)
+        k = np.arange(width)
+        rows = self.buf[np.minimum(at[:, None] + k, len(self.buf) - 1)]
+        rows[k >= size[:, None]] = 0
+        return rows
+
+    def entry_bytes(self, part: slice) -> np.ndarray:
+        """The bytes of some entries, one after another."""
+        at, size = self.entry_at[part], self.entry_size[part]
+        return self.buf[np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
     def removed(self, answer: np.ndarray) -> np.ndarray:
         """Which bytes go, given one bit per entry and offset."""
         n, length = len(self.buf), self.length
@@ -326,9 +345,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for row, g in with_occurrences(batches):
             rows = []
             for b, s in _parts(g.entry_key, bits):
-                inside = np.arange(g.entry_rows.shape[1]) < g.entry_size[s][:, None]
                 rows.append({"bucket": b, "grp": row["grp"].as_py(), "keys": _pack(np.diff(g.entry_key[s], prepend=np.uint64(0))),
-                             "sizes": _pack(g.entry_size[s].astype(np.uint8)), "bytes": _pack(g.entry_rows[s][inside]), "least": _pack(g.entry_least[s])})
+                             "sizes": _pack(g.entry_size[s].astype(np.uint8)), "bytes": _pack(g.entry_bytes(s)), "least": _pack(g.entry_least[s])})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("grp", pa.string()), *[(x, pa.binary()) for x in ("keys", "sizes", "bytes", "least")]]))
 
