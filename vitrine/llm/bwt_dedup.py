@@ -149,7 +149,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
         if len(at):
             at = at[np.concatenate(([True], at[1:] != at[:-1]))]
             found.append(at + lo)
-            keys.append(h[at] >> np.uint64(64 - KEY_BITS))
+            keys.append(_mixed(h[at]) >> np.uint64(64 - KEY_BITS))  # least hashes are small: mixed anew, keys spread over all buckets
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at, key = np.concatenate(found), np.concatenate(keys)
@@ -297,6 +297,44 @@ def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[di
             yield row, Group(row["payload"].as_py(), np.array(row["lens"].as_py(), np.int64), row["ids"].as_py(), length)
 
 
+def _answer_contexts(part: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The bits of every group of a bucket: string by string, does it start in a document before the entry's first?"""
+    width = 2 * length - min(GRAM, length)
+    lists = [np.cumsum(_unpack(k, np.uint64)) for k in part["keys"]]
+    key = np.concatenate(lists)
+    size = np.concatenate([_unpack(x, np.uint8) for x in part["sizes"]]).astype(np.int64)
+    flat = np.concatenate([_unpack(x, np.uint8) for x in part["bytes"]])
+    least = np.concatenate([_unpack(x, np.int64) for x in part["least"]])
+    rows = np.zeros((len(key), width + 9), np.uint8)  # key, length and bytes: what makes a context
+    rows[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 8] = size
+    rows[:, 9:][np.arange(width) < size[:, None]] = flat
+    classes, head, of = np.unique(rows.view(f"V{width + 9}").reshape(-1), return_index=True, return_inverse=True)
+    of = of.reshape(-1)
+    first = np.full(len(classes), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, least)
+    ckey, csize = key[head], size[head]
+    offsets = width - length + 1
+    best = np.repeat(first[:, None], offsets, axis=1)
+    alone = np.ones(len(classes), bool)
+    same = ckey[1:] == ckey[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    some = np.nonzero(~alone)[0]
+    text = rows[:, 9:]
+    for part_of in _by_anchor(some, ckey[some]):
+        best[part_of] = least_of_repeats(text[head[part_of]], csize[part_of], first[part_of], length)
+    # a bit where the string also starts in a document before the entry's first
+    answer = np.zeros(len(key), np.uint64)
+    for o in range(offsets):
+        answer |= (best[of, o] < least).astype(np.uint64) << np.uint64(o)
+    out, at = [], 0
+    for x in lists:
+        out.append(_pack(answer[at:at + len(x)]))
+        at += len(x)
+    return pd.DataFrame({"bucket": part["bucket"], "grp": part["grp"], "bits": out})
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES,
                    bucket_bytes: int = BUCKET_BYTES, hot_groups: int = HOT_GROUPS, keep_text: bool = True) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the ``kept`` bytes (binary; null without ``keep_text``)."""
@@ -350,42 +388,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("grp", pa.string()), *[(x, pa.binary()) for x in ("keys", "sizes", "bytes", "least")]]))
 
-    width = 2 * length - min(GRAM, length)
-
     def answer_contexts(part: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.cumsum(_unpack(k, np.uint64)) for k in part["keys"]]
-        key = np.concatenate(lists)
-        size = np.concatenate([_unpack(x, np.uint8) for x in part["sizes"]]).astype(np.int64)
-        flat = np.concatenate([_unpack(x, np.uint8) for x in part["bytes"]])
-        least = np.concatenate([_unpack(x, np.int64) for x in part["least"]])
-        rows = np.zeros((len(key), width + 9), np.uint8)  # key, length and bytes: what makes a context
-        rows[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
-        rows[:, 8] = size
-        rows[:, 9:][np.arange(width) < size[:, None]] = flat
-        classes, head, of = np.unique(rows.view(f"V{width + 9}").reshape(-1), return_index=True, return_inverse=True)
-        of = of.reshape(-1)
-        first = np.full(len(classes), np.iinfo(np.int64).max)
-        np.minimum.at(first, of, least)
-        ckey, csize = key[head], size[head]
-        offsets = width - length + 1
-        best = np.repeat(first[:, None], offsets, axis=1)
-        alone = np.ones(len(classes), bool)
-        same = ckey[1:] == ckey[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        some = np.nonzero(~alone)[0]
-        text = rows[:, 9:]
-        for part_of in _by_anchor(some, ckey[some]):
-            best[part_of] = least_of_repeats(text[head[part_of]], csize[part_of], first[part_of], length)
-        # a bit where the string also starts in a document before the entry's first
-        answer = np.zeros(len(key), np.uint64)
-        for o in range(offsets):
-            answer |= (best[of, o] < least).astype(np.uint64) << np.uint64(o)
-        out, at = [], 0
-        for x in lists:
-            out.append(_pack(answer[at:at + len(x)]))
-            at += len(x)
-        return pd.DataFrame({"bucket": part["bucket"], "grp": part["grp"], "bits": out})
+        return _answer_contexts(part, length)
 
     contexts = marked.mapInArrow(send_contexts, "bucket long, grp string, keys binary, sizes binary, bytes binary, least binary")
     answers = contexts.groupBy("bucket").applyInPandas(answer_contexts, "bucket long, grp string, bits binary")
