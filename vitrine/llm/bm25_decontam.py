@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,7 +53,7 @@ MIN_SCORE = 0.5
 MIN_OVERLAP = 0.8
 SHINGLE = 5
 #: Items that share a bound in step 1; postings that share one in step 2.
-BLOCK_ITEMS = 4
+BLOCK_ITEMS = 2
 BLOCK_POSTINGS = 16
 SHORTEST_WINDOW = 64
 SHARD_CHARS = 16_000_000
@@ -96,11 +97,15 @@ def overlap(part: list[str], passage: list[str]) -> float:
 class Index:
     """Posting lists by term, their blocks, and what step 1 needs."""
 
+    # lists, not arrays: block-max WAND reads them one by one
     term_ids: dict[str, int]
-    starts: np.ndarray  # of each term's postings
-    items: np.ndarray
-    impacts: np.ndarray
-    maxima: np.ndarray  # of each term
+    starts: list[int]  # of each term's postings
+    items: list[int]
+    impacts: list[float]
+    maxima: list[float]  # of each term
+    block_starts: list[int]  # of each term's blocks of BLOCK_POSTINGS
+    block_maxima: list[float]
+    block_last: list[int]  # item
     heavy: dict[str, int]  # terms that step 1 adds up
     heavy_starts: np.ndarray
     heavy_blocks: np.ndarray
@@ -152,7 +157,14 @@ class Index:
             blocks.append(most)
         rest = np.zeros(len(rows) // BLOCK_ITEMS + 1)
         np.maximum.at(rest, np.arange(len(rows)) // BLOCK_ITEMS, light)
-        return Index(term_ids, starts, items, impacts, maxima, heavy, np.cumsum([0] + [len(b) for b in blocks]),
+        block_starts, block_maxima, block_last = [0], [], []
+        for postings in lists:
+            for lo in range(0, len(postings), BLOCK_POSTINGS):
+                part = postings[lo:lo + BLOCK_POSTINGS]
+                block_maxima.append(max(x for _, x in part))
+                block_last.append(part[-1][0])
+            block_starts.append(len(block_maxima))
+        return Index(term_ids, starts.tolist(), items.tolist(), impacts.tolist(), maxima.tolist(), block_starts, block_maxima, block_last, heavy, np.cumsum([0] + [len(b) for b in blocks]),
                      np.array([k for b in blocks for k in b], np.int64), np.array([x for b in blocks for x in b.values()]),
                      rest, ids, parts, longest)
 
@@ -170,31 +182,31 @@ class Index:
 
     def search(self, words: list[str], min_score: float) -> list[tuple[int, float]]:
         """Block-max WAND: (item, score) of every item that scores ``min_score`` or more."""
+        items, impacts, starts, maxima = self.items, self.impacts, self.starts, self.maxima
         cursors = []  # [item, position, end, term]
         for w in set(words):
             t = self.term_ids.get(w)
             if t is not None:
-                cursors.append([int(self.items[self.starts[t]]), int(self.starts[t]), int(self.starts[t + 1]), t])
+                cursors.append([items[starts[t]], starts[t], starts[t + 1], t])
         found, low = [], min_score - 1e-9
 
         def seek(c: list, item: int) -> None:
-            c[1] += int(np.searchsorted(self.items[c[1]:c[2]], item))
-            c[0] = int(self.items[c[1]]) if c[1] < c[2] else -1
+            c[1] = bisect_left(items, item, c[1], c[2])
+            c[0] = items[c[1]] if c[1] < c[2] else -1
 
         def block(c: list, item: int) -> tuple[float, int]:
             """The bound of the list's block that may hold ``item``, and that block's last item."""
-            at = c[1] + int(np.searchsorted(self.items[c[1]:c[2]], item))
+            at = bisect_left(items, item, c[1], c[2])
             if at == c[2]:
                 return 0.0, len(self.ids)
-            first = int(self.starts[c[3]]) + (at - int(self.starts[c[3]])) // BLOCK_POSTINGS * BLOCK_POSTINGS
-            last = min(first + BLOCK_POSTINGS, c[2])
-            return float(self.impacts[first:last].max()), int(self.items[last - 1])
+            b = self.block_starts[c[3]] + (at - starts[c[3]]) // BLOCK_POSTINGS
+            return self.block_maxima[b], self.block_last[b]
 
         while cursors:
             cursors.sort(key=lambda c: c[0])
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += self.maxima[c[3]]
+                total += maxima[c[3]]
                 if total >= low:
                     pivot = k
                     break
@@ -209,7 +221,7 @@ class Index:
                 for c in cursors[:pivot + 1]:
                     seek(c, item)
                     if c[0] == item:
-                        score += float(self.impacts[c[1]])
+                        score += impacts[c[1]]
                         seek(c, item + 1)
                 if score >= low:
                     found.append((item, score))
