@@ -250,6 +250,23 @@ def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(int(np.searchsorted(bucket, b)), int(np.searchsorted(bucket, b, side="right")))
 
 
+def _may_share(rows: np.ndarray, size: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """False for contexts that share no string with another context of their key, as far as parts of them tell.
+
+    Strings that start at one of a third of the offsets have a part in common,
+    at the same place if no context of the key was cut at a document's edge.
+    """
+    width = rows.shape[1]
+    keep = np.isin(key, key[size < width])
+    bounds = np.linspace(0, width - length + 1, 4).astype(int)
+    for lo, hi in zip(bounds[:-1], bounds[1:] - 1):
+        if lo <= hi:
+            part = np.ascontiguousarray(rows[:, hi:lo + length])
+            _, of, counts = np.unique(_mixed(_hash_rows(part, np.zeros(len(part), np.int64)) ^ key), return_inverse=True, return_counts=True)
+            keep |= counts[of] > 1
+    return keep
+
+
 def _by_anchor(classes: np.ndarray, keys: np.ndarray) -> Iterator[np.ndarray]:
     """Consecutive classes, about TOGETHER of them, cut between different keys."""
     if not len(classes):
@@ -320,8 +337,9 @@ def _answer_contexts(part: pd.DataFrame, length: int) -> pd.DataFrame:
     same = ckey[1:] == ckey[:-1]
     alone[1:] &= ~same
     alone[:-1] &= ~same
-    some = np.nonzero(~alone)[0]
     text = rows[:, 9:]
+    some = np.nonzero(~alone)[0]
+    some = some[_may_share(text[head[some]], csize[some], ckey[some], length)]
     for part_of in _by_anchor(some, ckey[some]):
         best[part_of] = least_of_repeats(text[head[part_of]], csize[part_of], first[part_of], length)
     # a bit where the string also starts in a document before the entry's first
