@@ -1,6 +1,7 @@
 """A-folds on arrays."""
 
 from vitrine.functions.sqltext import F, X
+from vitrine.functions.text import first_truthy
 from vitrine.operators import folds
 
 
@@ -14,14 +15,11 @@ def test_last_wins_map_keeps_first_insertion_order(spark):
     assert [(e["key"], e["value"]) for e in m] == [("b", "3"), ("a", "2")]
 
 
-def test_minus_keep_dups_and_distinct(spark):
+def test_minus_keep_dups(spark):
     assert _one(spark, folds.minus_keep_dups(X("array('a','b','b','c')"), X("array('a')"))) == ["b", "b", "c"]
-    assert _one(spark, folds.append_distinct(X("array('a','b')"), X("array('b','c','a')"))) == ["a", "b", "c"]
 
 
-def test_shortest_first_last(spark):
-    assert _one(spark, folds.shortest(X("array('ccc','a','b','dd')"))) == "a"
+def test_first_and_last_nonnull(spark):
     assert _one(spark, folds.first_nonnull(X("array(NULL, 'x', 'y')"))) == "x"
     assert _one(spark, folds.last_nonnull(X("array('x', 'y', NULL)"))) == "y"
-    assert _one(spark, folds.top_k(X("array('x')"), 2)) == ["x"]
-    assert _one(spark, F.coalesce(folds.first_truthy(X("''"), X("NULL"), X("'z'")))) == "z"
+    assert _one(spark, F.coalesce(first_truthy(X("''"), X("NULL"), X("'z'")))) == "z"

@@ -40,3 +40,35 @@ def test_jsonld_raw_and_joined():
 def test_bad_html_never_raises():
     for html in ["<", "</x>", "<a b='", "<!--", "<![CDATA[x", "\x00"]:
         parse_page(html)
+
+
+def test_jsonld_is_strict_json():
+    raw = lambda body: parse_page(f'<script type="application/ld+json">{body}</script>')[0][0][10]
+    assert raw('{"a": 1, "a": "\u00e9", "b": [NaN, -Infinity, 1.50]}') == '{"a": "é", "b": [null, null, 1.5]}'
+    assert raw("{broken") is None and raw("[" * 100_000) is None
+    assert raw('{"a": "\ud800"}') == '{"a": "?"}'
+
+
+def test_needed_attributes_only():
+    rows, _ = parse_page('<p class="a b" id="x"><i lang="en"></i></p>', frozenset(["id"]))
+    assert [(r[5], r[6]) for r in rows] == [({"id": "x"}, []), ({}, [])]
+
+
+def test_end_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        html = "<div><img src=a><br></div>" * n
+        t = time.perf_counter()
+        rows, _ = parse_page(html)
+        assert len(rows) == 3 * n
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert min(seconds(8000) for _ in range(3)) < 16 * min(seconds(1000) for _ in range(3))
+
+
+def test_output_is_cut_by_size():
+    from vitrine.operators.shred import _slices
+    assert list(_slices([3, 3, 3, 9, 0, 1], 5)) == [(0, 2), (2, 4), (4, 6)]
+    assert list(_slices([], 5)) == []

@@ -114,12 +114,18 @@ def pick_srcset_hires(c) -> Column:
     return F.when(F.contains(c, F.lit(",")), last).otherwise(c)
 
 
+# An absolute http(s) URL: user info, a host without characters that no host
+# may hold, a port; whatever follows is not restricted.
+_HTTP_RX = (r"(?is)^[\x00-\x20]*https?:[/\\]+(?:[^/?#\\]*@)?"
+            r"(?:\[[0-9a-f:.]+\]|[^\s/?#\\@:\[\]<>^|%]+)(?::[0-9]{0,5})?(?:[/?#\\].*)?$")
+# Longest accepted URL (fixed value).
+MAX_URL_CHARS = 2083
+
+
 def is_http_url(c) -> Column:
     """Absolute http(s) URL with a host (request validation)."""
     c = _c(c)
-    host = F.try_parse_url(c, F.lit("HOST"))
-    proto = F.lower(F.try_parse_url(c, F.lit("PROTOCOL")))
-    return F.coalesce(proto.isin("http", "https") & (host != ""), F.lit(False))
+    return F.coalesce(F.regexp_like(c, F.lit(_HTTP_RX)) & (F.length(c) <= MAX_URL_CHARS), F.lit(False))
 
 
 __all__ = ["resolve_url", "pick_srcset", "pick_srcset_hires", "is_http_url", "vocab"]

@@ -123,6 +123,7 @@ def price_candidates() -> Column:
         N.select_nodes(N.attr_rlike("data-lu-target", vocab.LU_TARGET_PRICE_RX)))
     by_testid = _priced(F.filter(testid, N.not_old_price_marker()))
     by_class = _priced(N.select_nodes(N.class_rlike(vocab.PRICE_CLASS_RX)))
+    # a later source is searched only where the earlier ones gave no price
     leaves = N.select_nodes(lambda n: n["tag"].isin(*vocab.LEAF_TAGS)
                             & N.is_leaf(n, vocab.LEAF_TAGS))
     short = F.filter(F.transform(leaves, _ctext), lambda t: N.short_text(t))
@@ -131,8 +132,11 @@ def price_candidates() -> Column:
     # A5: shortest text wins, ties to the earliest; carry the parsed value along
     leaf_price = F.array_min(F.transform(parsed, lambda c, i: F.struct(
         F.length(c["t"]).alias("len"), i.alias("i"), c["p"].alias("p"))))["p"]
-    return F.struct(structured.alias("structured"), by_testid.alias("testid"),
-                    by_class.alias("cls"), leaf_price.alias("leaf"))
+    return let(structured, lambda s: let(
+        F.when(s.isNull(), by_testid), lambda t: let(
+            F.when(s.isNull() & t.isNull(), by_class), lambda c: F.struct(
+                s.alias("structured"), t.alias("testid"), c.alias("cls"),
+                F.when(s.isNull() & t.isNull() & c.isNull(), leaf_price).alias("leaf")))))
 
 
 def price(pc: Column) -> Column:
@@ -303,8 +307,7 @@ def category() -> Column:
     block = N.first_node(N.all_of(N.tag_in("div"), N.has_attr("data-category")))
 
     def in_first_li(b):
-        li = N.first_in(b, lambda n: (n["tag"] == "li")
-                        & (F.element_at(F.col("nodes"), n["parent"] + 1)["tag"] == "ul"))
+        li = N.first_in(b, N.child_of("ul", "li"))
         return let(li, lambda x: N.first_in(x, lambda n: F.array_contains(n["classes"], "nav-a-content")
                                             & N.has_ancestor(n, N.tag_in("a"))))
 
@@ -412,8 +415,10 @@ def review_numbers() -> Column:
     block replaces both values (even with NULL); generic selectors then fill
     whatever is still falsy.
     """
-    jl_rating = _jl_first("rating")
-    jl_count = _jl_first("count")
+    # a decimal comma and separators of thousands occur in declared numbers
+    jl_rating = F.replace(_jl_first("rating"), F.lit(","), F.lit(".")).try_cast("double").cast("string")
+    jl_count = let(_jl_first("count"), lambda c: F.coalesce(
+        c.try_cast("bigint"), digits_only(c))).cast("string")
 
     block = N.first_node(N.id_is("averageCustomerReviews"))
     amz = let(block, lambda b: F.struct(

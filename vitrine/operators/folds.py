@@ -1,70 +1,27 @@
-"""Order-sensitive folds over arrays (one page's candidates).
+"""Order-sensitive folds over arrays (one page's candidates).
 
 All are Column -> Column; none needs a shuffle because a page's candidates
-live in one row. The long-form equivalents (``min_by``/``max_by`` grouped by
-page) are used by the driver-table queries.
+live in one row. The other folds are single functions where they are used
+(first: ``try_element_at``, ordered distinct: ``array_distinct``, shortest:
+``array_min`` over (length, place), overwrite: ``when``); long forms
+(``min_by``/``max_by`` grouped by a key) are the driver-table queries.
 """
 
 from __future__ import annotations
 
-from typing import Callable
-
 from vitrine.functions.core import let
 from vitrine.functions.sqltext import Column, F
 
-from vitrine.functions.text import first_truthy  # A1, re-exported
-
-
-def first_match(arr: Column) -> Column:
-    """A2: first element (document order)."""
-    return F.try_element_at(arr, F.lit(1))
-
 
 def first_nonnull(arr: Column) -> Column:
     """A3: first element that is not NULL."""
     return F.try_element_at(F.filter(arr, lambda x: x.isNotNull()), F.lit(1))
 
 
-def first_parseable(arr: Column, f: Callable[[Column], Column]) -> Column:
-    """A3: first element whose parsed value is not NULL -> the parsed value."""
-    return first_nonnull(F.transform(arr, f))
-
-
-def last_match(arr: Column) -> Column:
-    """A4: last element."""
-    return F.try_element_at(arr, F.lit(-1))
-
-
 def last_nonnull(arr: Column) -> Column:
     return F.try_element_at(F.filter(arr, lambda x: x.isNotNull()), F.lit(-1))
 
 
-def shortest(arr: Column, payload: Callable[[Column], Column] | None = None) -> Column:
-    """A5: minimum by character length, ties to the earliest.
-
-    Returns the shortest string itself, or ``payload(x)`` of that element.
-    """
-    keyed = F.transform(arr, lambda x, i: F.struct(F.length(x).alias("len"), i.alias("i"),
-                                                   x.alias("x")))
-    best = F.array_min(keyed)
-    return best["x"] if payload is None else payload(best["x"])
-
-
-def top_k(arr: Column, k: int) -> Column:
-    """First ``k`` elements (safe on short arrays)."""
-    return F.slice(arr, 1, k)
-
-
-def append_distinct(*arrs: Column) -> Column:
-    """Ordered distinct append (first occurrence kept)."""
-    return F.array_distinct(F.concat(*arrs))
-
-
-def distinct_structs(arr: Column) -> Column:
-    """Equal structs once, first-seen order."""
-    return F.array_distinct(arr)
-
-
 def last_wins_map(entries: Column) -> Column:
     """``MAP`` from ``ARRAY<STRUCT<k, v>>`` where a later value replaces an
     earlier one and keys keep their first-insertion order (dict semantics).
@@ -89,33 +46,9 @@ def last_wins_map(entries: Column) -> Column:
     return F.map_from_entries(F.transform(ordered, lambda r: F.struct(r["k"], r["v"])))
 
 
-def first_present_key(obj_get: Callable[[str], Column], keys: list[str],
-                      present: Callable[[Column], Column]) -> Column:
-    """A10: ordered keys, the first present one wins (later keys ignored)."""
-    return F.coalesce(*[F.when(present(obj_get(k)), obj_get(k)) for k in keys])
-
-
-def ordered_union(*arrs: Column) -> Column:
-    """One selection after another."""
-    return F.concat(*arrs)
-
-
 def minus_keep_dups(new: Column, old: Column) -> Column:
     """Values of ``new`` not already in ``old``; duplicates within ``new`` stay."""
     return F.filter(new, lambda o: ~F.coalesce(F.array_contains(old, o), F.lit(False)))
 
 
-def any_match(arr: Column, pred: Callable[[Column], Column]) -> Column:
-    """Existence."""
-    return F.exists(arr, pred)
-
-
-def overwrite(old: Column, new: Column, when: Column) -> Column:
-    """A later source replaces the earlier one, even with NULL."""
-    return F.when(when, new).otherwise(old)
-
-
-__all__ = ["first_truthy", "first_match", "first_nonnull", "first_parseable", "last_match",
-           "last_nonnull", "shortest", "top_k", "append_distinct", "distinct_structs",
-           "last_wins_map", "first_present_key", "ordered_union", "minus_keep_dups",
-           "any_match", "overwrite"]
+__all__ = ["first_nonnull", "last_nonnull", "last_wins_map", "minus_keep_dups"]

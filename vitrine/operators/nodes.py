@@ -15,7 +15,7 @@ from vitrine.functions.sqltext import Column, F
 
 from vitrine.functions import vocab
 from vitrine.functions.text import clean_text, contains_any
-from vitrine.operators.shred import children, descendants, node_text
+from vitrine.operators.shred import descendants, node_text
 
 Pred = Callable[[Column], Column]
 
@@ -187,9 +187,10 @@ def first_in(n: Column, pred: Pred, nodes: str | Column = "nodes") -> Column:
     return F.try_element_at(select_in(n, pred, nodes), F.lit(1))
 
 
-def child_in(n: Column, pred: Pred, nodes: str | Column = "nodes") -> Column:
-    """Children of ``n`` matching ``pred``."""
-    return F.filter(children(n, nodes), pred)
+def child_of(parent_tag: str, tag: str, nodes: str | Column = "nodes") -> Pred:
+    """An element whose parent (one lookup by its place) has the given name."""
+    arr = F.col(nodes) if isinstance(nodes, str) else nodes
+    return lambda n: (n["tag"] == tag) & _safe(F.try_element_at(arr, n["parent"] + 1)["tag"] == parent_tag)
 
 
 def has_ancestor(n: Column, pred: Pred, nodes: str | Column = "nodes") -> Column:

@@ -17,6 +17,7 @@ it never fails the job.
 
 from __future__ import annotations
 
+import json
 import sys
 from html.parser import HTMLParser
 from typing import Iterable, Iterator
@@ -47,7 +48,7 @@ VOID_TAGS = frozenset([
 HIDDEN_TAGS = frozenset(["script", "style", "template"])
 # Elements whose stripped-and-joined text is kept (the variant rule reads it).
 JOINED_TAGS = frozenset(["button", "label", "input"])
-# Attributes holding whitespace-separated token lists.
+# Script type whose body is structured data.
 JSONLD_TYPE = "application/ld+json"
 
 
@@ -71,7 +72,7 @@ class _TreeBuilder(HTMLParser):
         self.nbytes = 0
         self.hidden = 0
         self.pending: list[str] = []
-        self.closed_void: list[str] = []
+        self.closed_void: dict[str, int] = {}
 
     # -- text -------------------------------------------------------------
     def _flush(self) -> None:
@@ -125,7 +126,7 @@ class _TreeBuilder(HTMLParser):
         self._open(tag, attrs)
         if tag in VOID_TAGS:
             self._pop()
-            self.closed_void.append(tag)
+            self.closed_void[tag] = self.closed_void.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self._open(tag, attrs)
@@ -133,8 +134,8 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in self.closed_void:
-            self.closed_void.remove(tag)
+        if self.closed_void.get(tag):
+            self.closed_void[tag] -= 1
             return
         for pos in range(len(self.stack) - 1, -1, -1):
             if self.tag[self.stack[pos]] == tag:
@@ -166,8 +167,22 @@ def _joined(pieces: list[str], p0: int, p1: int) -> str:
     return "".join(s for s in (p.strip() for p in pieces[p0:p1]) if s)
 
 
-def parse_page(html: str) -> tuple[list[tuple], bytes]:
-    """Parse one page: (node tuples in document order, UTF-8 page text)."""
+def _plain_json(raw: str) -> str | None:
+    """A JSON-LD body as strict JSON: of a repeated key the last value stays,
+    NaN and infinities become null; NULL when the body is no JSON."""
+    try:
+        text = json.dumps(json.loads(raw, parse_constant=lambda _: None), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def parse_page(html: str, needed_attrs: frozenset[str] | None = None) -> tuple[list[tuple], bytes]:
+    """Parse one page: (node tuples in document order, UTF-8 page text).
+
+    ``needed_attrs``: keep these attributes only (``class`` also fills the
+    token list); all by default.
+    """
     b = _TreeBuilder()
     b.feed(html)
     b.finish()
@@ -176,14 +191,16 @@ def parse_page(html: str) -> tuple[list[tuple], bytes]:
     rows = []
     for i, tag in enumerate(b.tag):
         a = b.attrs[i]
-        cls = a.get("class")
         joined = None
         if tag in JOINED_TAGS or (label_targets and a.get("id") in label_targets):
             joined = _joined(b.pieces, b.p0[i], b.p1[i])
         raw = b.raw.get(i)
+        if needed_attrs is not None:
+            a = {k: v for k, v in a.items() if k in needed_attrs}
+        cls = a.get("class")
         rows.append((i, b.end[i], b.parent[i], b.depth[i], tag, a,
                      cls.split() if cls else [], b.t0[i], b.t1[i], joined,
-                     "".join(raw) if raw is not None else None))
+                     _plain_json("".join(raw)) if raw is not None else None))
     return rows, "".join(b.pieces).encode("utf-8")
 
 
@@ -232,58 +249,72 @@ def _nodes_array(pages: list) -> pa.Array:
                                     mask=pa.array(mask, pa.bool_()))
 
 
-def _shred_batches(batches: Iterable[pa.RecordBatch], html_col: str,
-                   keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        htmls = rb.column(html_col).to_pylist()
-        pages, texts, errors = [], [], []
-        for html in htmls:
-            if html is None or html == "":
-                pages.append(None)
-                texts.append(None)
-                errors.append("empty html")
-                continue
-            try:
-                rows, text = parse_page(html)
-                pages.append(rows)
-                texts.append(text)
-                errors.append(None)
-            except Exception as exc:  # a bad page is a row, not a failed job
-                pages.append(None)
-                texts.append(None)
-                errors.append(f"shred: {type(exc).__name__}: {exc}")
-        arrays = [rb.column(c) for c in keep]
-        arrays += [_nodes_array(pages), pa.array(texts, pa.binary()),
-                   pa.array(errors, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=keep + ["nodes", "page_text", "shred_error"])
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the input over at least ``min_partitions`` tasks (default: the
-    cluster's parallelism) when it arrives in fewer splits, e.g. one small file.
-
-    A large input already has enough splits and is left as is (no shuffle).
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-def shred_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
+# Characters of HTML after which the shredded pages so far are handed on.
+FLUSH_CHARS = 4_000_000
+
+
+def _slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``limit`` in total size, one row at least."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= limit:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _shred_batches(batches: Iterable[pa.RecordBatch], html_col: str, keep: list[str],
+                   needed_attrs: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        sizes = [len(v) if (v := x.as_py()) else 0 for x in whole.column(html_col)]
+        for lo, hi in _slices(sizes, FLUSH_CHARS):
+            rb = whole.slice(lo, hi - lo)
+            pages, texts, errors = [], [], []
+            for html in rb.column(html_col).to_pylist():
+                if html is None or html == "":
+                    pages.append(None)
+                    texts.append(None)
+                    errors.append("empty html")
+                    continue
+                try:
+                    rows, text = parse_page(html, needed_attrs)
+                    pages.append(rows)
+                    texts.append(text)
+                    errors.append(None)
+                except Exception as exc:  # a bad page is a row, not a failed job
+                    pages.append(None)
+                    texts.append(None)
+                    errors.append(f"shred: {type(exc).__name__}: {exc}")
+            arrays = [rb.column(c) for c in keep]
+            arrays += [_nodes_array(pages), pa.array(texts, pa.binary()),
+                       pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + ["nodes", "page_text", "shred_error"])
+
+
+def shred_pages(df: DataFrame, html_col: str = "html", needed_attrs: Iterable[str] | None = None,
+                num_partitions: int | None = None) -> DataFrame:
     """H1: one parse per page -> ``nodes ARRAY<node>``, ``page_text`` BINARY, ``shred_error``.
 
     All other input columns pass through; the HTML column is dropped (it is
     not needed after shredding). Filters on the captures must be applied
     before this call: Catalyst cannot push predicates through ``mapInArrow``.
+    ``needed_attrs`` names the attributes that the caller reads; the others are
+    not serialised. The input's own splits are used as they are
+    (``spark.sql.files.maxPartitionBytes`` sizes them); ``num_partitions``
+    round-robins the raw pages first, for an input of few splits.
     """
-    if not df.isStreaming:
-        df = spread(df)
+    if num_partitions:
+        df = df.repartition(num_partitions)
     keep = [f.name for f in df.schema.fields if f.name != html_col]
+    needed = None if needed_attrs is None else frozenset(needed_attrs)
     out_schema = T.StructType(
         [f for f in df.schema.fields if f.name != html_col]
         + [T.StructField("nodes", schemas.NODES),
            T.StructField("page_text", T.BinaryType()),
            T.StructField("shred_error", T.StringType())])
-    return df.mapInArrow(lambda it: _shred_batches(it, html_col, keep), out_schema)
+    return df.mapInArrow(lambda it: _shred_batches(it, html_col, keep, needed), out_schema)
 
 
 # ---------------------------------------------------------------------------
@@ -305,11 +336,6 @@ def descendants(n: X, nodes: str | X = "nodes") -> X:
     return SF.slice(arr, n["ord"] + 2, n["end_ord"] - n["ord"])
 
 
-def children(n: X, nodes: str | X = "nodes") -> X:
-    """Containment plus parent link."""
-    return SF.filter(descendants(n, nodes), lambda d: d["parent"] == n["ord"])
-
-
 def base_url_expr(url_col: str = "url") -> X:
     """H2: first ``<base href>`` resolved against the page URL, else the page URL."""
     from vitrine.functions.core import let
@@ -322,11 +348,6 @@ def base_url_expr(url_col: str = "url") -> X:
                .otherwise(SF.col(url_col)))
 
 
-def with_base_url(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """H2 as a column ``base_url``."""
-    return df.withColumn("base_url", base_url_expr(url_col).col)
-
-
 def explode_nodes(df: DataFrame, *keep: str) -> DataFrame:
     """H3: long form, one row per element (``page_id`` + node fields + text)."""
     cols = [F.col(c) for c in keep]

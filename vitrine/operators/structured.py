@@ -135,16 +135,6 @@ def scope_items(syntax: str, props, nodes="nodes") -> Column:
     return F.transform(F.filter(_col(nodes), is_product), item)
 
 
-def microdata_items(nodes="nodes", base_parts="bp") -> Column:
-    """H6: microdata product items (type contains 'product') with flat props."""
-    return scope_items("microdata", scope_props("microdata", nodes, base_parts), nodes)
-
-
-def rdfa_items(nodes="nodes", base_parts="bp") -> Column:
-    """H7: RDFa product items read from ``typeof`` / ``property`` attributes."""
-    return scope_items("rdfa", scope_props("rdfa", nodes, base_parts), nodes)
-
-
 # ---------------------------------------------------------------- typed JSON-LD
 REVIEW_TYPE = "array<struct<author:string,date:string,rating:string,text:string>>"
 
@@ -236,5 +226,5 @@ def meta_first(meta: Column, keys: list[str]) -> Column:
     return F.coalesce(*[meta[k] for k in keys])
 
 
-__all__ = ["jsonld_items", "jsonld_product_nodes", "microdata_items", "rdfa_items",
+__all__ = ["jsonld_items", "jsonld_product_nodes", "scope_props", "scope_items",
            "meta_entries", "meta_map", "meta_first", "N"]

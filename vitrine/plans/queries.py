@@ -7,7 +7,7 @@ hashes of Spark and DuckDB compare.
 
 from __future__ import annotations
 
-import re
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +22,9 @@ from vitrine.functions.urls import resolve_url
 from vitrine.operators import nodes as N
 from vitrine.operators.shred import explode_nodes, node_text, shred_pages
 from vitrine.plans.extract import extract_products
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import captures as K
-from vitrine.sources import catalogue
+from vitrine.sources import catalogue, details
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -44,12 +45,12 @@ def page_titles(spark, sf):
 
 def page_node_counts(spark, sf):
     """H1: elements per page."""
-    return shred_pages(_t(spark, sf, "pages")).select("page_id", F.size("nodes").alias("n_nodes"))
+    return shred_pages(_t(spark, sf, "pages"), needed_attrs=()).select("page_id", F.size("nodes").alias("n_nodes"))
 
 
 def tag_histogram(spark, sf):
     """H3: long form, element count per tag over all pages (partial aggregation)."""
-    nodes = explode_nodes(shred_pages(_t(spark, sf, "pages")), "page_id")
+    nodes = explode_nodes(shred_pages(_t(spark, sf, "pages"), needed_attrs=()), "page_id")
     return nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,13 +91,16 @@ def stock_status(spark, sf):
 
 
 def valid_requests(spark, sf):
-    """S2 on page URLs as requests."""
-    req = _t(spark, sf, "pages").select(F.col("page_id").alias("request_id"), "url",
-                                        F.lit(None).cast("string").alias("strategy"),
-                                        F.lit(None).cast("boolean").alias("debug"))
+    """S2 on page URLs as requests, some of them altered so that both outcomes occur."""
+    url = F.expr("""CASE page_id % 10 WHEN 1 THEN concat('ftp', url) WHEN 2 THEN concat(url, '|a{b}') WHEN 3 THEN concat(url, '/a b')
+        WHEN 4 THEN 'https://?no-host' WHEN 5 THEN 'https://my_shop.example.com:8080/p' WHEN 6 THEN NULL
+        WHEN 7 THEN 'https://bad host/' WHEN 8 THEN '/relative' ELSE url END""")
+    strategy = F.expr("CASE page_id % 20 WHEN 9 THEN 'CURL' WHEN 10 THEN 'PLAYWRIGHT' END")
+    req = _t(spark, sf, "pages").select(F.col("page_id").alias("request_id"), url.alias("url"), strategy.alias("strategy"),
+                                        F.expr("nullif(page_id % 3 = 0, false)").alias("debug"))
     valid, rejected = K.validate_requests(req)
-    return valid.select("request_id", "strategy", "debug", F.lit(True).alias("valid")).unionByName(
-        rejected.select("request_id", "strategy", "debug", F.lit(False).alias("valid")))
+    return valid.select("request_id", "strategy", "debug", F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        rejected.select("request_id", "strategy", "debug", "reject_reason"))
 
 
 # ----------------------------------------------------------------- scalars (T)
@@ -188,11 +192,14 @@ def last_by_order(spark, sf):
 
 
 def shortest_by_length(spark, sf):
-    """A5 long form: shortest document per language, ties to the lowest id."""
+    """A5 long form: shortest document per language, ties to the lowest id.
+
+    Lengths and ids are aggregated without the texts; the winners (one per
+    language) fetch theirs afterwards."""
     d = _t(spark, sf, "documents")
-    best = d.groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"),
-                                          F.struct(F.length("text"), F.col("doc_id"))).alias("b"))
-    return best.select("lang", "b.doc_id", "b.text")
+    best = d.groupBy("lang").agg(F.min(F.struct(F.length("text").alias("n"), F.col("doc_id"))).alias("b")) \
+        .select(F.col("b.doc_id").alias("winner"))
+    return d.join(best, d["doc_id"] == best["winner"]).select("lang", "doc_id", "text")
 
 
 def distinct_keep_order(spark, sf):
@@ -218,8 +225,7 @@ def union_ranked(spark, sf):
 
 # ----------------------------------------------------------------- catalogue (C)
 def _catalogue_products(spark, sf):
-    caps = catalogue.captures(spark, sf).where("strategy = 'HTTPX'")
-    return extract_products(caps)
+    return extract_products(catalogue.captures(spark, sf))
 
 
 def _field_query(*cols):
@@ -254,16 +260,70 @@ def products(spark, sf):
 
 
 def product_json(spark, sf):
-    """Records as JSON text (rows-only check)."""
+    """Responses written as JSON lines, read again as text and looked into."""
     caps = catalogue.captures(spark, sf)
     resp = K.to_response(K.resolve_captures(caps, catalogue.requests(spark, sf)))
-    return resp.select("request_id", F.to_json("response").alias("json"))
+    path = f"{ensure_checkpoint_dir(spark)}/vitrine-json-{uuid.uuid4().hex}"
+    K.write_products(resp, path, "json")
+    lines = spark.read.text(path)
+    return lines.select(*[F.get_json_object("value", f"$.{k}").alias(a) for a, k in [
+        ("request_id", "request_id"), ("success", "response.success"), ("error", "response.error"),
+        ("strategy_used", "response.strategy_used"), ("title", "response.data.title"), ("price", "response.data.price"),
+        ("characteristics", "response.data.characteristics.Size"), ("size", "response.data.variants.size[0]"),
+        ("rating", "response.data.reviews.rating_average")]])
+
+
+def captured_titles(spark, sf):
+    """Captures stored as JSON without the error column, read with the schema of captures, then extracted."""
+    path = f"{ensure_checkpoint_dir(spark)}/vitrine-captures-{uuid.uuid4().hex}"
+    K.write_products(catalogue.captures(spark, sf).drop("error"), path, "json")
+    caps = K.read_captures(spark, path, "json")
+    return extract_products(caps).select("page_id", "strategy", "error", "shred_error", F.col("product.title").alias("title"))
+
+
+def resolved_requests(spark, sf):
+    """PLAYWRIGHT requests, repeated requests, and several captures of a URL (the lowest page_id counts)."""
+    caps = catalogue.captures(spark, sf)
+    again = caps.where("page_id % 6 = 0").withColumn("page_id", F.col("page_id") + 10_000_000) \
+        .withColumn("html", F.regexp_replace("html", "<h1", "<p>later</p><h1")) \
+        .withColumn("html", F.regexp_replace("html", "</title>", " (later)</title>"))
+    req = catalogue.requests(spark, sf).withColumn("strategy", F.expr("CASE WHEN request_id % 4 = 0 THEN 'PLAYWRIGHT' WHEN request_id % 4 = 1 THEN 'HTTPX' END"))
+    req = req.unionByName(req.where("request_id % 7 = 0"))
+    found = K.resolve_captures(caps.unionByName(again), req)
+    return found.select("request_id", "strategy_requested", "strategy_used", F.col("product.title").alias("title"), "error")
+
+
+def _detail_products(spark, sf):
+    return extract_products(details.pages(spark, sf))
+
+
+def detail_fields(spark, sf):
+    """P1-P9, P12-P14 and F12 on the detail pages."""
+    return _detail_products(spark, sf).select("page_id", *[f"product.{c}" for c in (
+        "canonical_url", "title", "price", "old_price", "currency", "description", "brand", "sku", "category", "stock")], "declared_stock")
+
+
+def detail_lists(spark, sf):
+    """P10, P11, P15-P18 (A6, A12, F11, J1, J6, N5, N6) on the detail pages."""
+    v = "product.variants."
+    return _detail_products(spark, sf).select(
+        "page_id", _joined(F.col("product.images"), " ").alias("images"), _joined(F.col("product.gallery"), " ").alias("gallery"),
+        _chars().alias("characteristics"), _joined(F.col(v + "size")).alias("sizes"), _joined(F.col(v + "color")).alias("colors"),
+        _joined(F.col(v + "style")).alias("styles"), _joined(F.col(v + "pattern")).alias("patterns"))
+
+
+def detail_reviews(spark, sf):
+    """P19, P20 and H2 on the detail pages: numbers, contents of the reviews, base URL."""
+    from vitrine.plans.extract import product_columns, with_structured
+    sh = with_structured(shred_pages(details.pages(spark, sf))).withColumn("base", F.col("base_url"))
+    text = F.transform("product.reviews.list", lambda r: F.concat_ws("|", *[F.coalesce(r[k], F.lit("")) for k in ("author", "date", "rating", "text")]))
+    return product_columns(sh).select("page_id", F.col("base").alias("base_url"), "product.reviews.rating_average", "product.reviews.review_count",
+                                      _joined(text, ";").alias("reviews"))
 
 
 def _catalogue_structured(spark, sf):
     from vitrine.plans.extract import with_structured
-    caps = catalogue.captures(spark, sf).where("strategy = 'HTTPX'")
-    return with_structured(shred_pages(caps))
+    return with_structured(shred_pages(catalogue.captures(spark, sf)))
 
 
 def base_url(spark, sf):
@@ -300,7 +360,7 @@ def meta_tags(spark, sf):
 def enabled_buy_buttons(spark, sf):
     """Enabled buttons and submit inputs per catalogue page."""
     from vitrine.functions.sqltext import F as SF
-    sh = shred_pages(catalogue.captures(spark, sf).where("strategy = 'HTTPX'"))
+    sh = shred_pages(catalogue.captures(spark, sf))
     buttons = SF.concat(N.select_nodes(N.tag_in("button")),
                         N.select_nodes(N.all_of(N.tag_in("input"), N.attr_is("type", "submit"))))
     return sh.select("page_id", SF.coalesce(SF.size(SF.filter(buttons, N.enabled())), SF.lit(0))
@@ -349,6 +409,11 @@ QUERIES: dict[str, Q] = {
     "response_envelope": response_envelope,
     "products": products,
     "product_json": product_json,
+    "captured_titles": captured_titles,
+    "resolved_requests": resolved_requests,
+    "detail_fields": detail_fields,
+    "detail_lists": detail_lists,
+    "detail_reviews": detail_reviews,
     "product_title": _field_query("product.title"),
     "product_description": _field_query("product.description"),
     "product_canonical_url": _field_query("product.canonical_url"),
@@ -382,9 +447,16 @@ def _decode(x: str) -> str:
             f"'&copy;', '©'), '&amp;', '&')")
 
 
-def _duck_vocab(words: list[str]) -> str:
-    ordered = sorted(words, key=len, reverse=True)
-    return "\\b(?:" + "|".join(re.sub(r"([.])", r"\\\1", w) for w in ordered) + ")\\b"
+# The word lists of the rules, written out here so that the oracle does not
+# share them with the implementation (fixed values; longer words first).
+_SIZE_RX = (r"\b(?:ONE SIZE|XXXL|OSFA|(?:1[5-9]|[2-4][0-9]|5[0-2])\.5|XXL|XXS|2XS|2XL|3XL|4XL|5XL|XL|XS|"
+            r"(?:1[5-9]|[2-4][0-9]|5[0-2])|S|M|L)\b")
+_COLOR_RX = (r"\b(?:BLEU MARINE|MULTICOLORE|MULTICOLOR|TURQUOISE|SARCELLE|BORDEAUX|PATTERN|MARRON|VIOLET|ORANGE|ARGENT|YELLOW|"
+             r"PURPLE|SILVER|MAROON|BLANC|ROUGE|JAUNE|BEIGE|OLIVE|CRÈME|IVOIRE|MOTIF|BLACK|WHITE|GREEN|BROWN|IVORY|CREAM|"
+             r"NOIR|GRIS|BLEU|VERT|ROSE|GREY|GRAY|BLUE|PINK|GOLD|NAVY|TEAL|RED|OR)\b")
+_BUY_WORDS = ["acheter", "ajouter au panier", "panier", "add to cart", "buy now", "sélectionner"]
+_OUT_WORDS = ["rupture de stock", "épuisé", "out of stock"]
+_LEAF_BANNED = ["sku", "stock", "review", "avis", "livraison", "retour"]
 
 
 def _ordered_distinct(lst: str) -> str:
@@ -447,8 +519,13 @@ def _expected(page_id: str, es: str, notitle: str, dead: str) -> str:
 FROM part)"""
 
 
-_CAPTURE_EXP = _expected("p_partkey * 2", "p_partkey % 10", "(p_partkey % 10 = 8 AND p_partkey % 20 = 8)",
-                         "(p_partkey % 10 = 9)")
+_HTTPX_EXP = _expected("p_partkey * 2", "p_partkey % 10", "(p_partkey % 10 = 8 AND p_partkey % 20 = 8)",
+                       "(p_partkey % 10 = 9)")
+_PLAYWRIGHT_EXP = _expected("p_partkey * 2 + 1", "CASE WHEN p_partkey % 20 = 9 THEN 0 ELSE 8 END", "false", "false")
+_CAPTURE_EXP = f"(SELECT * FROM {_HTTPX_EXP} UNION ALL SELECT * FROM {_PLAYWRIGHT_EXP} WHERE k % 20 IN (8, 9))"
+# page_id and markup style of every capture; style 9 has no page
+_STYLED = """(SELECT p_partkey * 2 AS page_id, p_partkey % 10 AS s, * FROM part UNION ALL
+    SELECT p_partkey * 2 + 1, CASE WHEN p_partkey % 20 = 9 THEN 0 ELSE 8 END, * FROM part WHERE p_partkey % 20 IN (8, 9))"""
 _REQUEST_EXP = _expected("p_partkey", "CASE WHEN p_partkey % 10 = 9 THEN 0 ELSE p_partkey % 10 END",
                          "false", "(p_partkey % 20 = 19)")
 
@@ -474,8 +551,10 @@ ORACLES: dict[str, str] = {
         CAST(NULL AS VARCHAR) AS currency, 'OutOfStock' AS stock, false AS availability,
         CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS sku, CAST(0 AS INTEGER) AS n_images FROM pages""",
     "stock_status": "SELECT page_id, 'OutOfStock' AS stock, false AS availability FROM pages",
-    "valid_requests": """SELECT page_id AS request_id, 'HTTPX' AS strategy, false AS debug,
-        regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages""",
+    "valid_requests": """SELECT page_id AS request_id,
+        CASE page_id % 20 WHEN 9 THEN 'CURL' WHEN 10 THEN 'PLAYWRIGHT' ELSE 'HTTPX' END AS strategy, page_id % 3 = 0 AS debug,
+        CASE WHEN page_id % 10 IN (1, 4, 6, 7, 8) THEN 'invalid url' WHEN page_id % 20 = 9 THEN 'invalid strategy' END
+        AS reject_reason FROM pages""",
     "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "parse_price": f"SELECT l_orderkey, l_linenumber, {_parse_price_sql('txt')} AS price FROM {_PRICE_INPUTS}",
     "currency_symbol": f"""SELECT l_orderkey, l_linenumber, CASE WHEN contains(txt, '€') THEN 'EUR'
@@ -490,16 +569,16 @@ ORACLES: dict[str, str] = {
         AS digits FROM supplier""",
     "normalise_key": "SELECT p_partkey, lower(regexp_replace(p_brand, '[^\\p{L}\\p{N}]', '', 'g')) AS key FROM part",
     "match_sizes": f"""SELECT p_partkey, array_to_string({_ordered_distinct(
-        "regexp_extract_all(upper(p_type || ' ' || p_size), '" + _duck_vocab(vocab.SIZES) + "')")}, ',')
+        f"regexp_extract_all(upper(p_type || ' ' || p_size), '{_SIZE_RX}')")}, ',')
         AS sizes FROM part""",
     "match_colors": f"""SELECT p_partkey, array_to_string({_ordered_distinct(
-        "regexp_extract_all(upper(p_name), '" + _duck_vocab(vocab.COLORS) + "')")}, ',') AS colors FROM part""",
-    "contains_any": "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in vocab.BUY_KEYWORDS)
-        + " AS buy, " + " OR ".join(f"contains(lower(text), '{w}')" for w in vocab.OUT_OF_STOCK_KEYWORDS)
+        f"regexp_extract_all(upper(p_name), '{_COLOR_RX}')")}, ',') AS colors FROM part""",
+    "contains_any": "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in _BUY_WORDS)
+        + " AS buy, " + " OR ".join(f"contains(lower(text), '{w}')" for w in _OUT_WORDS)
         + " AS oos FROM documents",
     "short_text_filter": f"""SELECT doc_id, t AS text FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)
         WHERE t != '' AND length(t) <= 20 AND NOT ("""
-        + " OR ".join(f"contains(lower(t), '{w}')" for w in vocab.LEAF_EXCLUDED_TOKENS) + ")",
+        + " OR ".join(f"contains(lower(t), '{w}')" for w in _LEAF_BANNED) + ")",
     "first_by_order": "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id",
     "last_by_order": "SELECT conv_id, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id",
     "shortest_by_length": """SELECT lang, doc_id, text FROM (SELECT lang, doc_id, text,
@@ -515,19 +594,36 @@ ORACLES: dict[str, str] = {
         e.title, e.price, e.currency, e.stock, e.brand, e.sku
         FROM {_REQUEST_EXP} e JOIN part ON part.p_partkey = e.k""",
     "base_url": "SELECT page_id, url AS base_url FROM pages",
-    "jsonld_products": """SELECT p_partkey * 2 AS page_id,
-        CAST(CASE p_partkey % 10 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_items,
-        CAST(CASE WHEN p_partkey % 10 IN (0, 1) THEN 1 ELSE 0 END AS INTEGER) AS n_products FROM part""",
-    "microdata_products": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 2 THEN p_name END AS name,
-        CASE WHEN p_partkey % 10 = 2 THEN printf('%.2f', p_retailprice) END AS price FROM part""",
-    "rdfa_products": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 3 THEN p_name END AS name,
-        CASE WHEN p_partkey % 10 = 3 THEN printf('%.2f', p_retailprice) END AS price FROM part""",
-    "meta_tags": """SELECT p_partkey * 2 AS page_id, CASE WHEN p_partkey % 10 = 4 THEN p_name END AS og_title,
-        CASE WHEN p_partkey % 10 = 4 THEN 'GBP' END AS price_currency,
-        CAST(CASE p_partkey % 10 WHEN 4 THEN 5 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS n_meta FROM part""",
-    "enabled_buy_buttons": """SELECT p_partkey * 2 AS page_id,
-        CAST(CASE WHEN p_partkey % 10 IN (5, 7) THEN 1 ELSE 0 END AS INTEGER) AS n_enabled,
-        CAST(CASE WHEN p_partkey % 10 IN (5, 6, 7) THEN 1 ELSE 0 END AS INTEGER) AS n_buttons FROM part""",
+    "jsonld_products": f"""SELECT page_id, CAST(s IN (0, 1) AS INTEGER) AS n_items, CAST(s IN (0, 1) AS INTEGER) AS n_products
+        FROM {_STYLED}""",
+    "microdata_products": f"""SELECT page_id, CASE WHEN s = 2 THEN p_name END AS name,
+        CASE WHEN s = 2 THEN printf('%.2f', p_retailprice) END AS price FROM {_STYLED}""",
+    "rdfa_products": f"""SELECT page_id, CASE WHEN s = 3 THEN p_name END AS name,
+        CASE WHEN s = 3 THEN printf('%.2f', p_retailprice) END AS price FROM {_STYLED}""",
+    "meta_tags": f"""SELECT page_id, CASE WHEN s = 4 THEN p_name END AS og_title,
+        CASE WHEN s = 4 THEN 'GBP' END AS price_currency,
+        CAST(CASE s WHEN 4 THEN 5 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS n_meta FROM {_STYLED}""",
+    "enabled_buy_buttons": f"""SELECT page_id, CAST(s IN (5, 7) AS INTEGER) AS n_enabled,
+        CAST(s IN (5, 6, 7) AS INTEGER) AS n_buttons FROM {_STYLED}""",
+    "product_json": f"""SELECT CAST(e.k AS VARCHAR) AS request_id, CAST(NOT e.dead AS VARCHAR) AS success,
+        CASE WHEN e.dead THEN 'no PLAYWRIGHT capture' END AS error,
+        CASE WHEN e.dead THEN NULL WHEN k % 10 = 9 OR k % 20 = 8 THEN 'PLAYWRIGHT' ELSE 'HTTPX' END AS strategy_used,
+        title, price, CASE WHEN k % 10 = 5 THEN regexp_extract(characteristics, 'Size=([0-9]+)', 1) END AS characteristics,
+        nullif(split_part(sizes, ',', 1), '') AS size, CAST(rating_average AS VARCHAR) AS rating FROM {_REQUEST_EXP} e""",
+    "captured_titles": f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'HTTPX' ELSE 'PLAYWRIGHT' END AS strategy,
+        CAST(NULL AS VARCHAR) AS error, CASE WHEN dead THEN 'empty html' END AS shred_error, title FROM {_CAPTURE_EXP} e""",
+    "resolved_requests": """WITH r AS (SELECT p_partkey AS k, p_name, p_partkey % 4 = 0 AS pw,
+          p_partkey % 20 IN (8, 9) AS has_pw, p_partkey % 10 = 9 OR p_partkey % 20 = 8 AS no_httpx FROM part),
+        a AS (SELECT *, NOT pw AND NOT no_httpx AS by_httpx FROM r)
+        SELECT k AS request_id, CASE WHEN pw THEN 'PLAYWRIGHT' ELSE 'HTTPX' END AS strategy_requested,
+          CASE WHEN by_httpx THEN 'HTTPX' WHEN has_pw THEN 'PLAYWRIGHT' END AS strategy_used,
+          CASE WHEN by_httpx OR has_pw THEN p_name END AS title,
+          CASE WHEN NOT by_httpx AND NOT has_pw THEN 'no PLAYWRIGHT capture' END AS error
+        FROM a, range(0, CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END)""",
+    "detail_fields": f"""SELECT page_id, canonical_url, title, price, old_price, currency, description, brand, sku, category, stock, declared_stock
+        FROM {details.EXPECTED} e""",
+    "detail_lists": f"SELECT page_id, images, gallery, characteristics, sizes, colors, styles, patterns FROM {details.EXPECTED} e",
+    "detail_reviews": f"SELECT page_id, base_url, rating_average, review_count, reviews FROM {details.EXPECTED} e",
     "response_envelope": """SELECT p_partkey AS request_id, p_partkey % 20 != 19 AS success,
         CASE WHEN p_partkey % 20 = 19 THEN 'no PLAYWRIGHT capture' END AS error,
         CASE WHEN p_partkey % 20 = 19 THEN NULL WHEN p_partkey % 10 = 9 OR p_partkey % 20 = 8 THEN 'PLAYWRIGHT'

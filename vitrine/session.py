@@ -29,8 +29,6 @@ def get_session(master: str | None = None, app: str = "vitrine",
         # Pages are large strings: keep Arrow batches small so a Python
         # worker never holds more than a few MB of HTML at once.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-        # JSON-LD with a repeated key keeps the last value instead of failing to parse
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

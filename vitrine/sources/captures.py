@@ -7,11 +7,11 @@
 * S4 ``to_response``: success / data / error / strategy_used / debug.
 * S5 ``write_products``: JSON or columnar sink.
 
-Scale: extraction runs on every capture first (narrow); only the small
-product struct crosses the shuffles. Captures are reduced to one row per
-(url, strategy) with a partial aggregate before the join, so a URL captured
-millions of times cannot skew the join; the join and the final per-request
-aggregate share the same hash partitioning on ``url``.
+Scale: extraction runs on every capture first (narrow); the product struct
+crosses one exchange. One partial aggregate reduces all captures of a URL to a
+row, so a URL captured millions of times cannot skew the join; each request row
+then finds its row 1:1, and nothing is grouped after that, so AQE can split a URL
+that is requested very often.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from vitrine.plans.extract import extract_products
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Captured pages (page_id, url, strategy, html, error); missing columns are NULL."""
-    df = spark.read.format(fmt).load(path)
+    reader = spark.read.format(fmt)
+    if fmt in ("json", "csv"):  # no columns of its own: nothing is inferred
+        reader = reader.schema(schemas.CAPTURES)
+    df = reader.load(path)
     cols = []
     for f in schemas.CAPTURES.fields:
         cols.append(F.col(f.name).cast(f.dataType) if f.name in df.columns
@@ -49,52 +52,46 @@ def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
             checked.where(F.col("reject_reason").isNotNull()))
 
 
-def _eligible(products: DataFrame) -> DataFrame:
-    """Per capture: usable? (rank 0 = HTTPX with title, 1 = PLAYWRIGHT with html)."""
+def best_per_url(products: DataFrame) -> DataFrame:
+    """One row per URL: the usable HTTPX product (with a title) and the usable
+    PLAYWRIGHT product of lowest page_id, the PLAYWRIGHT error of lowest
+    page_id, and whether there is a PLAYWRIGHT capture at all."""
     ok_html = F.col("html_ok") & F.col("error").isNull() & F.col("shred_error").isNull()
-    return products.select(
-        "url", "strategy", "page_id", "product", "error", "shred_error",
-        F.when((F.col("strategy") == "HTTPX") & ok_html & F.col("product.title").isNotNull(), F.lit(0))
-         .when((F.col("strategy") == "PLAYWRIGHT") & ok_html, F.lit(1)).alias("rank"))
+    httpx, playwright = F.col("strategy") == "HTTPX", F.col("strategy") == "PLAYWRIGHT"
+    failure = F.coalesce("error", "shred_error")
+
+    def lowest(value, where):
+        return F.min_by(F.when(where, value), F.when(where, F.col("page_id")))
+
+    return products.groupBy("url").agg(
+        lowest(F.col("product"), httpx & ok_html & F.col("product.title").isNotNull()).alias("httpx"),
+        lowest(F.col("product"), playwright & ok_html).alias("playwright"),
+        lowest(failure, playwright & failure.isNotNull()).alias("pw_error"),
+        F.max(playwright).alias("has_pw"))
 
 
 def resolve_captures(captures: DataFrame, requests: DataFrame) -> DataFrame:
-    """S3: extract all captures, then pick one per request.
+    """S3: extract all captures, then pick one per request row.
 
     Returns request_id, url, debug, strategy_requested, strategy_used,
-    product (NULL when nothing usable) and error.
+    product (NULL when nothing usable) and error. The products are the probe
+    side of a sort-merge join, never broadcast: their size grows with the data.
     """
     caps = captures.withColumn("html_ok", F.coalesce(F.col("html") != "", F.lit(False)))
-    products = _eligible(extract_products(caps))
-    # one row per (url, strategy): the usable capture with the lowest page_id,
-    # else any capture's error -- a partial (map-side) aggregate
-    best = products.groupBy("url", "strategy").agg(
-        F.min_by(F.struct("page_id", "product"),
-                 F.struct(F.col("rank").isNull().alias("unusable"), F.col("page_id"))).alias("best"),
-        F.max(F.col("rank").isNotNull()).alias("usable"),
-        F.first(F.coalesce("error", "shred_error"), ignorenulls=True).alias("error"))
+    best = best_per_url(extract_products(caps))
     valid, _ = validate_requests(requests)
-    joined = valid.withColumnRenamed("strategy", "requested").join(best, "url", "left")
-    ranked = joined.withColumn(
-        "rank", F.when(F.col("usable") & (F.col("strategy") == "HTTPX")
-                       & (F.col("best.product.title").isNotNull()), F.lit(0))
-                 .when(F.col("usable") & (F.col("strategy") == "PLAYWRIGHT"), F.lit(1)))
+    joined = valid.withColumnRenamed("strategy", "requested").join(best.hint("merge"), "url", "left")
     # a PLAYWRIGHT request skips the HTTPX capture
-    ranked = ranked.withColumn("rank", F.when(
-        (F.col("requested") == "PLAYWRIGHT") & (F.col("rank") == 0), F.lit(None)).otherwise(F.col("rank")))
-    return ranked.groupBy("request_id", "url", "debug", "requested").agg(
-        F.min_by(F.struct(F.col("strategy").alias("strategy_used"), F.col("best.product").alias("product")),
-                 F.coalesce(F.col("rank"), F.lit(9))).alias("pick"),
-        F.min(F.col("rank")).alias("best_rank"),
-        F.max(F.when(F.col("strategy") == "PLAYWRIGHT", F.col("error"))).alias("pw_error"),
-        F.max(F.when(F.col("strategy") == "PLAYWRIGHT", F.lit(True))).alias("has_pw"),
-    ).select(
+    joined = joined.withColumn("httpx", F.when(F.col("requested") != "PLAYWRIGHT", F.col("httpx")))
+    product = F.coalesce("httpx", "playwright")
+    return joined.select(
         "request_id", "url", "debug", F.col("requested").alias("strategy_requested"),
-        F.when(F.col("best_rank").isNotNull(), F.col("pick.strategy_used")).alias("strategy_used"),
-        F.when(F.col("best_rank").isNotNull(), F.col("pick.product")).alias("product"),
-        F.when(F.col("best_rank").isNull(), F.coalesce(
+        F.when(F.col("httpx").isNotNull(), F.lit("HTTPX"))
+         .when(F.col("playwright").isNotNull(), F.lit("PLAYWRIGHT")).alias("strategy_used"),
+        product.alias("product"),
+        F.when(product.isNull(), F.coalesce(
             F.col("pw_error"),
-            F.when(F.col("has_pw").isNull(), F.lit("no PLAYWRIGHT capture")),
+            F.when(~F.coalesce("has_pw", F.lit(False)), F.lit("no PLAYWRIGHT capture")),
             F.lit("PLAYWRIGHT capture unusable"))).alias("error"))
 
 
@@ -109,6 +106,6 @@ def to_response(resolved: DataFrame) -> DataFrame:
                  F.coalesce(F.col("debug"), F.lit(False)).alias("debug")).alias("response"))
 
 
-def write_products(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
+def write_products(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
     """Write records as JSON lines or a columnar format."""
     df.write.mode(mode).format(fmt).save(path)

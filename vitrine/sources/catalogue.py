@@ -26,6 +26,7 @@ _FIELDS = {
     "OLD": "format_string('%.2f', p_retailprice + p_size)",
     "PC": "replace(format_string('%.2f', p_retailprice), '.', ',')",
     "RAW": "CAST(p_retailprice AS STRING)",
+    "long": "repeat('k', 81)",
     "oos": "CASE WHEN p_partkey % 20 = 17 THEN '<p>Rupture de stock</p>' ELSE '' END",
     "title_tag": "CASE WHEN p_partkey % 20 = 8 THEN '' ELSE concat('<title>', p_name, '</title>') END",
 }
@@ -97,7 +98,7 @@ STYLES = {
 STYLE8_FULL = STYLES[8].replace("{title_tag}", "<title>{name}</title>")
 
 
-def _sql_template(tpl: str) -> str:
+def sql_template(tpl: str) -> str:
     """A str.format template -> Spark SQL concat(...) over part columns."""
     parts, pos = [], 0
     for m in re.finditer(r"(?<!\{)\{([A-Za-z_]+)\}(?!\})", tpl):
@@ -117,7 +118,7 @@ def _sql_template(tpl: str) -> str:
 
 
 def _html_expr() -> str:
-    cases = " ".join(f"WHEN {s} THEN {_sql_template(t)}" for s, t in STYLES.items())
+    cases = " ".join(f"WHEN {s} THEN {sql_template(t)}" for s, t in STYLES.items())
     return f"CASE p_partkey % 10 {cases} END"
 
 
@@ -130,8 +131,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey * 2 AS page_id", f"{url} AS url", "'HTTPX' AS strategy",
         f"CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE {_html_expr()} END AS html",
         "CASE WHEN p_partkey % 10 = 9 THEN 'HTTP 503 Service Unavailable' END AS error")
-    full0 = _sql_template(STYLES[0])
-    full8 = _sql_template(STYLE8_FULL)
+    full0 = sql_template(STYLES[0])
+    full8 = sql_template(STYLE8_FULL)
     playwright = (part.where("p_partkey % 20 IN (8, 9)")
                   .selectExpr("p_partkey * 2 + 1 AS page_id", f"{url} AS url",
                               "'PLAYWRIGHT' AS strategy",

@@ -8,21 +8,18 @@ micro-batches; waiting for one would need state and a watermark that the
 source behaviour does not define, so the stream emits per-capture results
 and resolution stays a batch job over the sink.
 
-Progress is checkpointed under ``spark.checkpoint.dir`` (a shared folder on a
-cluster), so a restarted query resumes where it stopped and a lost executor
-only re-runs its tasks.
+Progress is checkpointed under the folder that the caller names (shared by the
+cluster, and the same after a restart), so a restarted query resumes where it
+stopped and appends nothing twice; a lost executor only re-runs its tasks.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import schemas
 from vitrine.plans.extract import extract_products
-from vitrine.session import ensure_checkpoint_dir
 
 OUTPUT_COLUMNS = ["page_id", "url", "strategy", "error", "shred_error", "product", "declared_stock"]
 
@@ -35,15 +32,16 @@ def capture_stream(spark: SparkSession, src_dir: str, fmt: str = "parquet",
     return reader.load(src_dir)
 
 
-def stream_products(spark: SparkSession, src_dir: str, out_dir: str, name: str = "products",
-                    fmt: str = "parquet", available_now: bool = True,
+def stream_products(spark: SparkSession, src_dir: str, out_dir: str, checkpoint_dir: str,
+                    name: str = "products", src_fmt: str = "parquet", fmt: str = "parquet",
+                    max_files_per_trigger: int | None = None,
                     processing_time: str | None = None) -> StreamingQuery:
-    """Watch ``src_dir`` for capture files and append extracted products to ``out_dir``."""
-    caps = capture_stream(spark, src_dir)
+    """Watch ``src_dir`` for capture files (``src_fmt``) and append extracted
+    products to ``out_dir`` (``fmt``); without ``processing_time`` the query
+    ends when all files that are there have been read."""
+    caps = capture_stream(spark, src_dir, src_fmt, max_files_per_trigger)
     out = extract_products(caps).select(*OUTPUT_COLUMNS)
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
-    writer = (out.writeStream.format(fmt).outputMode("append")
-              .option("path", out_dir).option("checkpointLocation", ckpt).queryName(name))
-    writer = writer.trigger(availableNow=True) if available_now and not processing_time \
-        else writer.trigger(processingTime=processing_time or "10 seconds")
-    return writer.start()
+    writer = (out.writeStream.format(fmt).outputMode("append").option("path", out_dir)
+              .option("checkpointLocation", checkpoint_dir).queryName(name))
+    return (writer.trigger(processingTime=processing_time) if processing_time
+            else writer.trigger(availableNow=True)).start()
