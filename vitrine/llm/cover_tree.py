@@ -9,8 +9,8 @@ are further apart than both radii and the threshold.
 
 In a meeting each block has a cover tree: nested levels whose covering radii
 halve, each child the centre of a greedy net of its parent's points. A level
-that would not condense its points (more than one centre for every ``CONDENSE``
-points) ends the tree there in a leaf. The two trees are walked together: a
+that does not condense its points (``CONDENSE`` for each centre, from ``TRIAL``
+centres on) ends the tree there in a leaf. The two trees are walked together: a
 pair of nodes whose centres are further apart than both covering radii and the
 threshold is pruned with everything below it, otherwise the wider node is
 opened; two leaves are compared vector by vector, in double precision.
@@ -47,8 +47,9 @@ MIN_COSINE = 0.95
 #: Classes of a block, about; pivots at most.
 BLOCK = 4000
 PIVOTS = 2048
-#: Points for each centre that a level must condense at least; points of a leaf that is not opened further.
-CONDENSE = 4
+#: Points for each centre that a level must condense at least, from so many centres on; points of a leaf that is not opened further.
+CONDENSE = 2
+TRIAL = 16
 LEAF = 32
 #: Distances and cosines this close to a bound are not decided by it.
 SLACK = 1e-9
@@ -85,11 +86,10 @@ class CoverTree:
             radius /= 2  # levels on which the node has itself as its only child
         if len(members) <= LEAF or radius <= 1e-7:
             return []
-        most = len(members) // CONDENSE
         nets, rest = [], members
         centre = self.centre[node]  # nested: a centre stays one on every level below
         while len(rest):
-            if len(nets) > most:
+            if len(nets) >= TRIAL and len(members) - len(rest) < CONDENSE * len(nets):
                 return []
             near = _distances(self.points[rest], self.points[centre]) <= radius
             nets.append((centre, rest[near]))
@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(fine, F.lit(False)), value).alias("vec"))
     classes = written(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
                       .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "vectors")
-    links = _links(classes, min_cosine, block, pivots)
+    links = written(_links(classes, min_cosine, block, pivots), "vector-links")
     spread = links.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(links.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
