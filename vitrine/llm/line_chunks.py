@@ -18,7 +18,9 @@ Defined cases: a null text counts as empty; an empty text or a single line is
 left alone; the same row twice is one document, so neither copy loses lines to
 the other; a null id sorts first; of rows that share an id but not the text,
 each is treated by its own text. An emptied document keeps its row, with an
-empty text. Other columns of ``dedup_lines`` pass through unchanged.
+empty text. Other columns of ``dedup_lines`` pass through unchanged. Write the
+result before a Python function reads its text: Spark 4.1 can't evaluate a
+Python function over an expression with lambdas.
 """
 
 from __future__ import annotations
