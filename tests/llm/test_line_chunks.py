@@ -77,3 +77,47 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def plain_pairs(rows):
+    """Every line in two neighbouring lines that occur earlier goes; rows: distinct ids -> text."""
+    seen, out = set(), {}
+    for i in sorted(rows):
+        lines, gone = rows[i].split("\n"), set()
+        for k in range(len(lines) - 1):
+            pair = (lines[k], lines[k + 1])
+            if pair in seen:
+                gone |= {k, k + 1}
+            seen.add(pair)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return out
+
+
+def test_every_planted_passage_goes(spark):
+    rows = corpus()
+    line = iter(f"line {k}" for k in range(10**6))
+    planted = {}
+    for n in range(2, 13):
+        for _ in range(20):
+            passage = [next(line) for _ in range(n)]
+            for copy in range(2):
+                own = [next(line) for _ in range(6)]
+                own[3:3] = passage
+                rows[1000 + 2 * len(planted) + copy] = "\n".join(own)
+            planted[1001 + 2 * len(planted)] = n
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    out = dedup_lines(docs, every_pair=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+    got = {r["doc_id"]: (r["text"], r["lines_before"], r["lines_removed"]) for r in out.collect()}
+    assert got == plain_pairs(rows)
+    assert all(got[i][2] == n and got[i - 1][2] == 0 for i, n in planted.items())
+    by_chunks = plain_dedup(rows)
+    assert sum(by_chunks[i][2] for i in planted) < sum(planted.values()) / 2
+
+
+def test_edge_rows_with_every_pair(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, None), (None, "a\nb\nc"), (3, "x\na\nb\nz"), (4, ""), (5, "q\nr"), (5, "s\nt")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_pair=True).collect()
+    by = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in out if r["text"] is not None)
+    assert len(out) == len(rows) and by == [(-1, "a\nb\nc"), (1, ""), (1, ""), (3, "x\nz"), (4, ""), (5, "q\nr"), (5, "s\nt")]

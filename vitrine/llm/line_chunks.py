@@ -10,6 +10,14 @@ Chunks of two lines or more are compared over the whole corpus: first by hash
 (ids and hashes are shuffled, no text), then those whose hash repeats byte by
 byte. The occurrence with the smallest (id, line) stays, all others go.
 
+A repeated passage without a whole chunk between two common ends is missed by
+that. With ``every_pair`` nothing is: all pairs of neighbouring lines are
+compared as well, and a line goes if a chunk or pair with it occurs earlier.
+Pairs inside a chunk that occurs earlier are left out beforehand (its first
+occurrence has them all), so long repeats cost what their chunks cost. Here
+spans overlap: the first occurrence of a line always stays, but two lines may
+stay in different documents.
+
 Scale: counts per hash and per text are partial aggregates; the join of a
 very common chunk's occurrences with its one keeper row is split by AQE; only
 repeated chunks' texts are shuffled by text, and documents twice by id.
@@ -47,11 +55,14 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """Array of (first line, last line, hash) of a text's chunks of two lines or more; lines count from 1."""
+def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR, of_lines: bool = False) -> Column:
+    """Array of (first line, last line, hash) of a text's chunks of two lines or more; lines count from 1.
+
+    The hash is of the line hashes, or with ``of_lines`` of the lines themselves.
+    """
     factors = [pow(BASE, j, PRIME) for j in range(window)]
 
-    def rolled(h: Column) -> Column:
+    def rolled(h: Column, lines: Column) -> Column:
         n = F.size(h)
 
         def marked(_, i):
@@ -72,21 +83,49 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
         def hashed(s: Column) -> Column:
             return F.transform(F.filter(s, lambda x: x["last"] > x["first"]), lambda x: F.struct(
                 x["first"].alias("first"), x["last"].alias("last"),
-                F.xxhash64(F.slice(h, x["first"], x["last"] - x["first"] + 1)).alias("hash")))
+                F.xxhash64(F.slice(lines if of_lines else h, x["first"], x["last"] - x["first"] + 1)).alias("hash")))
 
         return bound(F.transform(h, marked), lambda m: bound(ends(m), lambda e: bound(spans(e), hashed)))
 
-    return bound(F.transform(lines_of(text), line_hash), rolled)
+    return bound(lines_of(text), lambda lines: bound(F.transform(lines, line_hash), lambda h: rolled(h, lines)))
+
+
+def pairs(text: Column) -> Column:
+    """Array of (first line, last line, hash) of every two neighbouring lines of a text; lines count from 1."""
+    def hashed(lines: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: i < F.size(lines))
+        return F.transform(starts, lambda i: F.struct(
+            i.alias("first"), (i + 1).alias("last"), F.xxhash64(F.get(lines, i - 1), F.get(lines, i)).alias("hash")))
+
+    return bound(lines_of(text), hashed)
+
+
+def _recurring(found: DataFrame, label: str) -> DataFrame:
+    """The rows whose hash occurs more than once."""
+    # written, so that both sides of the join are plain exchanges and AQE can split a common hash
+    twice = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), label)
+    return found.join(twice, "hash", "left_semi").select("id", "key", "first", "last", "hash")
+
+
+def _recurring_pairs(base: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs whose hash occurs more than once, not counting those inside a chunk of ``spans`` that occurs earlier."""
+    firsts = written(spans.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("keeper")), "line-firsts")
+    later = (spans.join(firsts, "hash").where(~F.struct("id", "first").eqNullSafe(F.col("keeper")))
+             .select(F.col("id").alias("id2"), F.col("key").alias("key2"), F.explode(F.expr("sequence(first, last - 1)")).alias("first2")))
+    found = written(_recurring(base.select("id", "key", F.inline(pairs(F.col("text")))), "line-pair-hashes"), "line-pairs")
+    apart = found.join(later, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")) & (F.col("first") == F.col("first2")), "left_anti")
+    return _recurring(written(apart, "line-pairs-apart"), "line-pairs-apart-hashes")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """Chunks to remove: ``(id, key, first, last)``; ``key`` tells texts of one id apart."""
+                    window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False) -> DataFrame:
+    """Chunks (and pairs) to remove: ``(id, key, first, last)``; ``key`` tells texts of one id apart."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    found = base.select("id", "key", F.inline(chunks(F.col("text"), window, divisor)))
-    # written, so that both sides of the join are plain exchanges and AQE can split a common hash
-    twice = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-hashes")
-    named = (found.join(twice, "hash", "left_semi").groupBy("id", "key")
+    spans = _recurring(base.select("id", "key", F.inline(chunks(F.col("text"), window, divisor, every_pair))), "line-hashes")
+    if every_pair:
+        spans = written(spans, "line-spans")
+        spans = spans.unionByName(_recurring_pairs(base, spans))
+    named = (spans.groupBy("id", "key")
              .agg(F.collect_set(F.struct("first", "last")).alias("spans"))
              .select(F.col("id").alias("id2"), F.col("key").alias("key2"), "spans"))
     texts = (base.join(named, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")))
@@ -101,14 +140,17 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with repeated chunks cut from the text, and ``lines_before``, ``lines_removed``, ``chunks_removed``."""
-    gone = (repeated_chunks(docs, id_col, text_col, window, divisor).groupBy("id", "key")
+                window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks cut from the text, and ``lines_before``, ``lines_removed``, ``chunks_removed``.
+
+    With ``every_pair`` every repeated passage of two lines or more goes, and ``chunks_removed`` counts pairs too.
+    """
+    gone = (repeated_chunks(docs, id_col, text_col, window, divisor, every_pair).groupBy("id", "key")
             .agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
             .select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__gone"))
     joined = (docs.withColumn("__text", text_or_empty(text_col))
               .join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__key")), "left"))
-    out = F.flatten(F.transform("__gone", lambda s: F.sequence(s["first"], s["last"])))
+    out = F.array_distinct(F.flatten(F.transform("__gone", lambda s: F.sequence(s["first"], s["last"]))))
     kept = bound(lines_of(F.col("__text")), lambda lines: F.transform(
         F.array_except(F.sequence(F.lit(1), F.size(lines)), out), lambda i: F.get(lines, i - 1)))
     untouched = F.col("__gone").isNull()

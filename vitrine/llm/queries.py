@@ -83,6 +83,30 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+_OP2_PASSAGES_ORACLE = """
+WITH lines AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), pairs AS (
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS pair FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM lines)
+), gone AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) AS r FROM pairs) WHERE r > 1
+), per_doc AS (
+  SELECT doc_id, list(DISTINCT k) AS g FROM (SELECT doc_id, unnest([i, i + 1]) AS k FROM gone) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.l)::BIGINT AS lines_before, coalesce(len(g), 0)::BIGINT AS lines_removed,
+  sha256(array_to_string(list_filter(d.l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
+FROM lines d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+"""
+
+
+@query(_OP2_PASSAGES_ORACLE)
+def op2_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document when every repeated passage of two lines or more goes."""
+    out = line_chunks.dedup_lines(table(spark, sf_dir, "documents"), every_pair=True)
+    return out.select("doc_id", "lines_before", "lines_removed",
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query()
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from trusted positives and unlabelled texts outside the held-out fifth."""
