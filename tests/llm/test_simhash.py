@@ -92,6 +92,17 @@ def test_edge_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    a, b, c = ("the quick brown fox jumps over it", "rain falls on the old stone bridge", "no text of the others at all")
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (4, c), (5, "x y z"), (5, "X Y  Z"), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [(r["doc_id"], r["text"]) for r in keep_one(docs).collect()]
+    assert sorted(r for r in kept if r[0] < 5) == sorted([(1, a), (1, b), (4, c)])
+    assert sorted(i for i, _ in kept if i > 4) == [5, 6]
+    of = {(r["doc_id"], r["fp"]): r["component_id"] for r in near_duplicates(docs.where("doc_id > 0")).collect()}
+    assert {i: c for (i, _), c in of.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
 def test_components_against_a_plain_walk(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (None, 3)]

@@ -289,26 +289,44 @@ def fingerprint_links(classes: DataFrame, max_distance: int = MAX_DISTANCE, unit
             .mapInArrow(_join_units(max_distance, blocks), "u long, v long"))
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of every row, and ``(fp, keeper)``: the least ``(id, key)`` of the fingerprint's component.
+
+    ``key`` tells texts of one id apart. Nodes are fingerprints, so that an id
+    with two unlike texts doesn't join their components.
+    """
+    prints = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"),
+                                 fingerprint_column(text_or_empty(text_col), shingle).alias("fp")), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least"))
+    links = fingerprint_links(classes.where("least IS NOT NULL").select("fp", F.col("fp").alias("node")), max_distance)
+    comps = connected_components(links)
+    roots = written(classes.join(comps, F.col("fp") == F.col("node"), "left")
+                    .select("fp", "least", F.coalesce("component", "fp").alias("root")), "trie-roots")
+    # written, so that both sides of the join are plain exchanges and AQE can split a large component
+    keepers = written(roots.groupBy("root").agg(F.min("least").alias("keeper")), "trie-keepers")
+    return prints.select("id", "fp"), roots.join(keepers, "root").select("fp", "keeper")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long) and ``component_id``, the smallest id reachable."""
-    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_or_empty(text_col), shingle).alias("fp")), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("node"))
-    links = fingerprint_links(classes.where("node IS NOT NULL"), max_distance)
-    comps = connected_components(links)
-    named = classes.join(comps, "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    prints, named = _groups(docs, id_col, text_col, shingle, max_distance)
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("keeper.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id: one document of each group stays.
+    """One document of each group: the one with the smallest id, and of that id's texts in the group one.
 
-    Repeated rows of one id leave one row. Rows with a null id have no name by
-    which a group could keep them; they stay.
+    Rows that repeat id and text leave one row; unlike texts of one id are
+    documents of their own. Rows with a null id have no name by which a group
+    could keep them; they stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, max_distance)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    rows = docs.where(F.col(id_col).isNotNull())
+    kept = (_groups(rows, id_col, text_col, shingle, max_distance)[1]
+            .select(F.col("keeper.id").alias("__kept"), F.col("keeper.key").alias("__kept_key")).distinct())
+    # the key is of the text alone: with it the join's exchange serves the removal of repeated rows too
+    named = (rows.withColumn("__key", F.xxhash64(text_col))
+             .join(kept, (F.col(id_col) == F.col("__kept")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
+             .dropDuplicates([id_col, "__key", text_col]).drop("__key"))
     return named.unionByName(docs.where(F.col(id_col).isNull()))
