@@ -68,3 +68,18 @@ def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
     assert [r["verdict"] for r in filter_urls(df).collect()] == ["allow", "allow"]
     assert filter_urls(df.limit(0)).count() == 0
+
+
+def test_deep_parts_and_file_endings(spark):
+    """What tells the URLs apart stands in the third or fourth path part, or is the file ending alone."""
+    rows = []
+    for k in range(40):
+        rows += [(f"http://h{k}.ads.net/a{k}/b/{'x/' * (k % 2)}banner", "block"), (f"http://h{k}.x.example.net/en/b/{k}/text", "allow"),
+                 (f"http://h{k}.ads.net/f{k}/g{k}.SWF", "block"),
+                 (f"http://o{k}.info/a/b/{'y/' * (k % 2)}banner", "block"), (f"http://o{k}.info/q{k}/r/s/movie{k}x{k}.swf", "block"), (f"http://o{k}.info/q/text", "allow")]
+    df = spark.createDataFrame(rows, "url string, want string")
+    wrong = [(r["url"], r["verdict"]) for r in filter_urls(df).collect() if r["verdict"] != r["want"]]
+    assert wrong == []
+    got = spark.createDataFrame([("http://a.b/c/d/e12/f.x.PHP?q=1.js",), ("http://a.b/c.d/",), ("http://a.b",)], "url string")
+    assert [sorted(x for x in r["t"] if not x.startswith(("host", "scheme"))) for r in got.select(tokens_of(got["url"]).alias("t")).collect()] == [
+        ["ending=php", "path0=c", "path1=d", "path=e0", "path=f.x.PHP", "query=q"], ["path0=c.d"], []]

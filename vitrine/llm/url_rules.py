@@ -2,8 +2,8 @@
 
 A host rule fits its host and all subdomains where the URL's path starts with
 the rule's path; the longest that fits decides. Its verdicts are also labels:
-the tokens of labelled URLs (host labels with their place, first path parts,
-file ending, names of query parameters, fragment) and the verdict form the
+the tokens of labelled URLs (host labels with their place, path parts, the
+first ones with their place, file ending, names of query parameters, fragment) and the verdict form the
 transactions from which Spark's FP-growth mines which combinations of tokens
 go with ``block`` or ``allow``. Rules below the support or the confidence are
 pruned, and so are rules that a shorter one with the same verdict makes
@@ -38,7 +38,7 @@ from vitrine.llm.common import written
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-#: Path parts that become tokens; host rules that are written into the plan.
+#: Path parts whose tokens have their place, later ones have none; host rules that are written into the plan.
 PATH_PARTS = 2
 MOST_HOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,13 +62,17 @@ def tokens_of(url: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     back = F.reverse(labels)
     from_end = F.transform(back, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit("="), x))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, PATH_PARTS)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
     # a part of digits stands for any number, with or without a file ending
-    shapes = F.transform(parts, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
+    shapes = F.transform(parts, lambda x, i: F.concat(
+        F.lit("path"), F.when(i < PATH_PARTS, i.cast("string")).otherwise(F.lit("")), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
+    # of the path's last part, unless the path ends with a slash
+    ending = F.translate(F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1), _UPPER, _LOWER)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query="), F.substring_index(x, "=", 1)))
     fragment = F.regexp_extract(url, r"(?s)#(.*)$", 1)
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     all_ = F.concat(F.array(F.concat(F.lit("scheme="), scheme)), from_end, shapes, names,
+                    F.when(ending != "", F.array(F.concat(F.lit("ending="), ending))).otherwise(F.array().cast("array<string>")),
                     F.when(fragment != "", F.array(F.concat(F.lit("fragment="), fragment))).otherwise(F.array().cast("array<string>")))
     return F.when(url.contains("://"), F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
 
