@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bm25_decontam, bwt_dedup, cover_tree, langid_bigru, line_chunks, quality_pu, sentencepiece_offsets, simhash_trie, toxicity_fm, url_rules
+from vitrine.llm import (bm25_decontam, bwt_dedup, collocations, cover_tree, langid_bigru, line_chunks, packing, quality_pu, sentencepiece_offsets,
+                         simhash_trie, toxicity_fm, url_rules)
 from vitrine.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,10 +27,10 @@ def query(oracle: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity_fm.FactorizationMachine:
@@ -211,3 +212,52 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest doc_id of its component."""
     found = simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Every n-gram spread out by itself; words hold no space, so a phrase's words are its parts at spaces.
+_OP12_ORACLE = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+    'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' '), chr(10))) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(1, len(ws) - k + 2)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= {collocations.MIN_COUNT}
+), cuts AS (
+  SELECT c.*, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:k], ' ') AS tail FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k
+), scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f * t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+), low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT lang, a AS longer, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3
+), most AS (
+  SELECT lang, phrase, max(longer) AS m FROM inner_parts GROUP BY ALL
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN most USING (lang, phrase) WHERE m IS NULL OR 100 * m < {collocations.WITHIN} * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
+
+@query(_OP12_ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its sequence."""
+    found, id_type = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids"), id_type).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
