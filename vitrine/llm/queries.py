@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import (bm25_decontam, bwt_dedup, collocations, cover_tree, langid_bigru, line_chunks, packing, quality_pu, sentencepiece_offsets,
-                         simhash_trie, toxicity_fm, url_rules)
+                         simhash_trie, token_alignment, toxicity_fm, url_rules)
 from vitrine.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +214,14 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op11_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, and how common its links are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 # Every n-gram spread out by itself; words hold no space, so a phrase's words are its parts at spaces.
 _OP12_ORACLE = f"""
 WITH p AS (
