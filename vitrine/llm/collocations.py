@@ -2,7 +2,8 @@
 
 Each word of a text opens one window: itself and the words that follow it in its
 piece (its lead columns), padded with empty words where the piece ends. Only
-these longest windows are counted. As every occurrence of a shorter phrase is the
+these longest windows are counted: in numpy within stretches of a partition, then
+by Spark. As every occurrence of a shorter phrase is the
 beginning of exactly one window, ROLLUP over the counted windows gives the counts
 of all shorter phrases by summing over what follows a prefix; no shorter n-gram
 is ever spread out.
@@ -12,11 +13,13 @@ every place; the cut's score is floor(10^6 a^2 / (l r)) in exact decimals, and t
 lowest-scoring cut (ties: the shortest first part) counts. A candidate goes if a
 longer candidate that holds it has ``within`` percent of its occurrences or more.
 
-Scale: a row makes its windows from its own array (a piece never leaves its row),
-so the first shuffle is that of counts summed on the map side. The ROLLUP leaves
-the longest prefix out, as the counted windows are that already. Everything after
-it works on phrases of ``min_count`` occurrences. The first ``top`` of each group
-are found by partial limits before the ranking's shuffle.
+Scale: a piece never leaves its row, so the one large shuffle is that of windows
+whose numbers are summed on the map side; it brings windows that share all words
+but the last together. There the places that no candidate needs (of phrases of
+fewer than ``min_count`` occurrences) are padded too, which leaves the sums of
+shorter prefixes as they are, so little is left for the ROLLUP. The ROLLUP leaves
+the longest prefix out, as the counted windows are that already. The first ``top``
+of each group are found by partial limits before the ranking's shuffle.
 
 Defined cases: a null text is empty, a null group is ``und``; texts without words
 and empty tables give no rows; the same row twice counts twice; the result has
@@ -25,50 +28,117 @@ its own columns only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bound, text_or_empty, written
+from vitrine.llm.common import text_or_empty, written
+from vitrine.llm.token_words import slices
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 #: Percent of a candidate's occurrences within one longer candidate at which it goes.
 WITHIN = 50
-#: Characters that end a piece; words end at a space or tab too.
-PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text whose windows are counted at a time, before the first shuffle.
+SLICE_BYTES = 8_000_000
 #: A padded place; no word is empty.
 PAD = ""
-
-
-def windows(text: Column, max_words: int = MAX_WORDS) -> Column:
-    """Array of the longest windows of a text: a struct of w1 (a word) and its leads w2, w3, ..."""
-    plain = F.translate(text, _UPPER + PIECE_ENDS + "\t", _UPPER.lower() + "\n" * len(PIECE_ENDS) + " ")
-
-    def of_piece(piece: Column) -> Column:
-        words = F.filter(F.split(piece, " ", -1), lambda w: w != "")
-        return bound(words, lambda ws: F.transform(ws, lambda w, i: F.struct(
-            w.alias("w1"), *[F.coalesce(F.get(ws, i + lead), F.lit(PAD)).alias(f"w{lead + 1}") for lead in range(1, max_words)])))
-
-    return F.flatten(F.transform(F.split(plain, "\n", -1), of_piece))
+_SPACE, _END = 32, 10
+# What each byte stands for. A-Z are lower-cased, these characters end a piece, a tab parts words like a space.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[list(b".,;:!?\n\x0b\x0c\r")] = _END
+_FOLD[9] = _SPACE
+
+
+def _places(max_words: int) -> list[str]:
+    return [f"w{i}" for i in range(1, max_words + 1)]
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts (no nulls), the text of each, and whether the next word follows in the same piece."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = _FOLD[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]]
+    edges -= edges[0]
+    inside = (data != _SPACE) & (data != _END)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    begins = edges[:-1][np.diff(edges) > 0]
+    starts[begins] = inside[begins]
+    first = np.flatnonzero(starts)
+    text = np.searchsorted(edges, first, "right") - 1
+    kept = np.concatenate(([0], np.cumsum(inside)))  # bytes of words before a place
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(kept[first], kept[-1]).astype(np.int32)), pa.py_buffer(data[inside]))
+    piece = np.cumsum(data == _END)[first]
+    same = np.zeros(len(first), bool)
+    same[:-1] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+    return words, text, same
+
+
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` places further on; zero beyond the end."""
+    return np.append(values[by:], np.zeros(min(by, len(values)), values.dtype))
+
+
+def count_windows(groups: pa.Array, texts: pa.Array, max_words: int) -> list[pa.Array]:
+    """The distinct longest windows of the texts with their group and number: group, w1 (a word), its leads w2, w3, ..., number."""
+    words, text, same = _words(texts)
+    coded, named = words.dictionary_encode(), groups.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1  # 0: padded
+    size = len(coded.dictionary) + 1
+    key = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+    lasts, leads = np.ones(len(code), bool), []
+    for k in range(max_words):
+        if k:
+            lasts = lasts & _ahead(same, k - 1)
+        leads.append(np.where(lasts, _ahead(code, k), 0))
+        if len(key) and int(key.max() + 1) * size >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * size + leads[k]
+    _, where, number = np.unique(key, return_index=True, return_counts=True)
+    spelled = pa.concat_arrays([pa.array([PAD]), coded.dictionary])
+    return [groups.take(pa.array(text[where])), *[spelled.take(pa.array(x[where])) for x in leads], pa.array(number, pa.int64())]
+
+
+def longest_windows(docs: DataFrame, text_col: str, group_col: str, max_words: int) -> DataFrame:
+    """``(grp, w1, .., f)``: the longest windows, counted within stretches of a partition."""
+    names = ["grp", *_places(max_words), "f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in slices(pc.binary_length(whole.column("text")).to_pylist(), SLICE_BYTES):
+                part = whole.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(count_windows(part.column("grp"), part.column("text"), max_words), names=names)
+
+    plain = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("grp"), text_or_empty(text_col).alias("text"))
+    return plain.mapInArrow(run, ", ".join(f"{n} {'long' if n == 'f' else 'string'}" for n in names))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lang", max_words: int = MAX_WORDS,
                   min_count: int = MIN_COUNT) -> DataFrame:
     """``(grp, phrase, k, f)``: phrases of k words with f >= min_count occurrences; k = 0 (null phrase): all words of the group."""
-    places = [f"w{i}" for i in range(1, max_words + 1)]
-    longest = written(
-        docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("grp"),
-                    F.inline(windows(text_or_empty(text_col), max_words)))
-        .groupBy("grp", *places).agg(F.count(F.lit(1)).alias("f")), "windows")
+    places = _places(max_words)
+    shared = ["grp", *places[:-1]]
+    # windows that share all but their last word meet in one partition, so the sums over it need no other shuffle
+    counted = (longest_windows(docs, text_col, group_col, max_words).repartition(*shared)
+               .groupBy("grp", *places).agg(F.sum("f").alias("f")))
+    # rare last words, and the last of all other words if they are rare together, are padded: no candidate has them,
+    # and shorter prefixes keep their sums
+    common = F.sum("f").over(Window.partitionBy(*shared)) >= min_count
+    padded = counted.withColumn("common", common).select(
+        *shared[:-1], F.when(F.col("common") | F.lit(max_words == 2), F.col(shared[-1])).otherwise(PAD).alias(shared[-1]),
+        F.when(F.col("common") & (F.col("f") >= min_count), F.col(places[-1])).otherwise(PAD).alias(places[-1]), "f")
+    longest = written(padded.groupBy("grp", *places).agg(F.sum("f").alias("f")), "windows")
     shorter = (longest.rollup("grp", *places[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("summed"))
                .where(F.col("grp").isNotNull()))
     # of a rollup's n columns the last j are summed over: grouping_id = 2^j - 1
-    words = F.lit(max_words - 1) - F.bit_count("summed")
-    kept = shorter.withColumn("k", words.cast("int")).where(f"k = 0 OR f >= {int(min_count)}")
+    kept = shorter.withColumn("k", (F.lit(max_words - 1) - F.bit_count("summed")).cast("int")).where(f"k = 0 OR f >= {int(min_count)}")
     prefix = [kept.where(F.col("k") == 0).select("grp", F.lit(None).cast("string").alias("phrase"), "k", "f")]
     for k in range(1, max_words):
         whole = kept.where((F.col("k") == k) & (F.col(places[k - 1]) != PAD))
