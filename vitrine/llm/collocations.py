@@ -46,7 +46,7 @@ TOP = 2000
 #: Percent of a candidate's occurrences within one longer candidate at which it goes.
 WITHIN = 50
 #: Bytes of text whose windows are counted at a time, before the first shuffle.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 16_000_000
 #: A padded place; no word is empty.
 PAD = ""
 _SPACE, _END = 32, 10
@@ -87,10 +87,14 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
 
 
 def count_windows(groups: pa.Array, texts: pa.Array, max_words: int) -> list[pa.Array]:
-    """The distinct longest windows of the texts with their group and number: group, w1 (a word), its leads w2, w3, ..., number."""
+    """The distinct longest windows of the texts and their numbers, as (head, tails) of windows that differ in the last word only.
+
+    The head is the other words and the group, joined by spaces; the tails are
+    the last words, each with a tab and its number if that is more than one.
+    """
     words, text, same = _words(texts)
     coded, named = words.dictionary_encode(), groups.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1  # 0: padded
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1  # 0: padded
     size = len(coded.dictionary) + 1
     key = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
     lasts, leads = np.ones(len(code), bool), []
@@ -101,39 +105,49 @@ def count_windows(groups: pa.Array, texts: pa.Array, max_words: int) -> list[pa.
         if len(key) and int(key.max() + 1) * size >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
         key = key * size + leads[k]
-    _, where, number = np.unique(key, return_index=True, return_counts=True)
+    key, where, number = np.unique(key, return_index=True, return_counts=True)
     spelled = pa.concat_arrays([pa.array([PAD]), coded.dictionary])
-    return [groups.take(pa.array(text[where])), *[spelled.take(pa.array(x[where])) for x in leads], pa.array(number, pa.int64())]
+    tails = spelled.take(pa.array(leads[-1][where]))
+    many = pc.binary_join_element_wise(tails, pc.cast(pa.array(number), pa.string()), "\t")
+    tails = pc.if_else(pa.array(number > 1), many, tails)
+    shared = key // size
+    first = np.flatnonzero(np.append(True, shared[1:] != shared[:-1])) if len(key) else np.zeros(0, np.int64)
+    head = pc.binary_join_element_wise(*[spelled.take(pa.array(x[where[first]])) for x in leads[:-1]], groups.take(pa.array(text[where[first]])), " ")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), tails)
+    return [head, pc.binary_join(lists, " ")]
 
 
 def longest_windows(docs: DataFrame, text_col: str, group_col: str, max_words: int) -> DataFrame:
-    """``(grp, w1, .., f)``: the longest windows, counted within stretches of a partition."""
-    names = ["grp", *_places(max_words), "f"]
-
+    """``(head, tails)``: the longest windows, counted within stretches of a partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi in slices(pc.binary_length(whole.column("text")).to_pylist(), SLICE_BYTES):
                 part = whole.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(count_windows(part.column("grp"), part.column("text"), max_words), names=names)
+                yield pa.RecordBatch.from_arrays(count_windows(part.column("grp"), part.column("text"), max_words), names=["head", "tails"])
 
     plain = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("grp"), text_or_empty(text_col).alias("text"))
-    return plain.mapInArrow(run, ", ".join(f"{n} {'long' if n == 'f' else 'string'}" for n in names))
+    return plain.mapInArrow(run, "head string, tails string")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", group_col: str = "lang", max_words: int = MAX_WORDS,
                   min_count: int = MIN_COUNT) -> DataFrame:
     """``(grp, phrase, k, f)``: phrases of k words with f >= min_count occurrences; k = 0 (null phrase): all words of the group."""
     places = _places(max_words)
-    shared = ["grp", *places[:-1]]
     # windows that share all but their last word meet in one partition, so the sums over it need no other shuffle
-    counted = (longest_windows(docs, text_col, group_col, max_words).repartition(*shared)
-               .groupBy("grp", *places).agg(F.sum("f").alias("f")))
+    spread = (longest_windows(docs, text_col, group_col, max_words).repartition("head")
+              .select("head", F.explode(F.split("tails", " ", -1)).alias("tail"))
+              .select("head", F.substring_index("tail", "\t", 1).alias("last"),
+                      F.when(F.contains("tail", F.lit("\t")), F.substring_index("tail", "\t", -1).cast("long")).otherwise(1).alias("f")))
+    counted = spread.groupBy("head", "last").agg(F.sum("f").alias("f"))
     # rare last words, and the last of all other words if they are rare together, are padded: no candidate has them,
     # and shorter prefixes keep their sums
-    common = F.sum("f").over(Window.partitionBy(*shared)) >= min_count
-    padded = counted.withColumn("common", common).select(
-        *shared[:-1], F.when(F.col("common") | F.lit(max_words == 2), F.col(shared[-1])).otherwise(PAD).alias(shared[-1]),
-        F.when(F.col("common") & (F.col("f") >= min_count), F.col(places[-1])).otherwise(PAD).alias(places[-1]), "f")
+    parts = counted.withColumn("common", F.sum("f").over(Window.partitionBy("head")) >= min_count).withColumn("parts", F.split("head", " ", max_words))
+    others = [F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(places[:-1])]
+    if max_words > 2:
+        others[-1] = F.when(F.col("common"), F.get("parts", F.lit(max_words - 2))).otherwise(PAD).alias(places[-2])
+    padded = parts.select(
+        F.get("parts", F.lit(max_words - 1)).alias("grp"), *others,
+        F.when(F.col("common") & (F.col("f") >= min_count), F.col("last")).otherwise(PAD).alias(places[-1]), "f")
     longest = written(padded.groupBy("grp", *places).agg(F.sum("f").alias("f")), "windows")
     shorter = (longest.rollup("grp", *places[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("summed"))
                .where(F.col("grp").isNotNull()))
