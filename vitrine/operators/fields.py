@@ -164,8 +164,8 @@ def old_price(price_col: Column) -> Column:
     olds = F.when(F.size(dels) > 0, dels).otherwise(
         N.select_nodes(N.class_rlike(vocab.OLD_PRICE_CLASS_RX)))
     parsed = F.transform(olds, lambda n: parse_price(node_text(n)))
-    return F.try_element_at(
-        F.filter(parsed, lambda p: p.isNotNull() & ~p.eqNullSafe(price_col)), F.lit(1))
+    return let(price_col, lambda current: F.try_element_at(
+        F.filter(parsed, lambda p: p.isNotNull() & ~p.eqNullSafe(current)), F.lit(1)))
 
 
 def discount(price_col: Column, old_col: Column) -> Column:
@@ -229,23 +229,28 @@ def images(gp: Column) -> Column:
 
 # ---------------------------------------------------------------- P15
 def char_pairs() -> Column:
-    """P15 input: (key, value) pairs of every table row and definition list, in order."""
-    def table_pairs(t):
-        rows = N.select_in(t, N.tag_in("tr"))
-        cells = F.filter(F.transform(rows, lambda r: N.select_in(r, N.tag_in("th", "td"))),
-                         lambda cs: F.size(cs) >= 2)
-        return F.transform(cells, lambda cs: F.struct(
-            _ctext(F.element_at(cs, 1)).alias("k"), _ctext(F.element_at(cs, 2)).alias("v")))
+    """P15 input: (key, value) pairs of every table row and definition list, in order.
+
+    The shredder has noted each row's first two cells and each table's rows
+    (those of nested tables too), so a row's texts are cut once and a table is a
+    slice of the rows.
+    """
+    nodes, outline = F.col("nodes"), F.col("outline")
+
+    def pair(r):
+        return F.when(r.isNotNull(), F.struct(_ctext(F.element_at(nodes, r["c1"] + 1)).alias("k"),
+                                              _ctext(F.element_at(nodes, r["c2"] + 1)).alias("v")))
 
     def dl_pairs(d):
         zipped = N.zip_pairs(N.select_in(d, N.tag_in("dt")), N.select_in(d, N.tag_in("dd")))
         return F.transform(zipped, lambda z: F.struct(_ctext(z["a"]).alias("k"),
                                                       _ctext(z["b"]).alias("v")))
 
-    containers = N.select_nodes(N.tag_in("table", "dl"))
-    pairs = F.flatten(F.transform(containers, lambda c: F.when(c["tag"] == "table", table_pairs(c))
-                                  .otherwise(dl_pairs(c))))
-    return F.filter(pairs, lambda p: N.valid_pair(p["k"], p["v"]))
+    tables = let(F.transform(outline["rows"], pair), lambda rows: F.transform(outline["tables"], lambda t: F.struct(
+        t["ord"].alias("ord"), F.slice(rows, t["r0"] + 1, t["r1"] - t["r0"]).alias("pairs"))))
+    lists = F.transform(N.select_nodes(N.tag_in("dl")), lambda d: F.struct(d["ord"].alias("ord"), dl_pairs(d).alias("pairs")))
+    pairs = F.flatten(F.transform(F.array_sort(F.concat(tables, lists)), lambda c: c["pairs"]))
+    return F.filter(pairs, lambda p: F.coalesce(N.valid_pair(p["k"], p["v"]), F.lit(False)))
 
 
 def characteristics(pairs: Column) -> Column:

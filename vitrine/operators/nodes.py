@@ -14,8 +14,9 @@ from typing import Callable
 from vitrine.functions.sqltext import Column, F
 
 from vitrine.functions import vocab
+from vitrine.functions.core import let
 from vitrine.functions.text import clean_text, contains_any
-from vitrine.operators.shred import descendants, node_text
+from vitrine.operators.shred import OTHER_BIT, TAG_BITS, descendants, node_text
 
 Pred = Callable[[Column], Column]
 
@@ -201,8 +202,18 @@ def has_ancestor(n: Column, pred: Pred, nodes: str | Column = "nodes") -> Column
 
 
 def is_leaf(n: Column, tags: list[str], nodes: str | Column = "nodes") -> Column:
-    """J4 anti join: no descendant in the tag set."""
-    return ~F.exists(descendants(n, nodes), lambda d: d["tag"].isin(*tags))
+    """J4 anti join: no descendant in the tag set.
+
+    One test of the node's ``below`` mask; only for names without a bit of their
+    own, and only where some such element is below, the subtree is searched.
+    """
+    mask = sum(1 << TAG_BITS[t] for t in tags if t in TAG_BITS)
+    rest = [t for t in tags if t not in TAG_BITS]
+    leaf = Column(f"(({n['below'].sql} & {mask}L) = 0)")
+    if rest:
+        other = Column(f"(({n['below'].sql} & {1 << OTHER_BIT}L) != 0)")
+        leaf = leaf & ~(other & F.exists(descendants(n, nodes), lambda d: d["tag"].isin(*rest)))
+    return leaf
 
 
 def text_of(n: Column) -> Column:
@@ -216,14 +227,14 @@ def clean_text_of(n: Column) -> Column:
 def label_target_text(label: Column, nodes: str | Column = "nodes") -> Column:
     """A text-less label reads the first element whose id equals its ``for``.
 
-    The target's value, else aria-label, else its stripped-joined text.
+    The target's value, else aria-label, else its stripped-joined text. The
+    shredder has looked the id up, so this reads one place.
     """
-    target = first_node(lambda m: _safe(attr(m, "id") == attr(label, "for")), nodes)
-    return F.when(
-        F.coalesce(attr(label, "for"), F.lit("")) != "",
-        F.coalesce(F.nullif(attr(target, "value"), F.lit("")),
-                   F.nullif(attr(target, "aria-label"), F.lit("")),
-                   F.nullif(target["text_joined"], F.lit(""))))
+    arr = F.col(nodes) if isinstance(nodes, str) else nodes
+    return let(F.try_element_at(arr, label["target"] + 1), lambda target: F.coalesce(
+        F.nullif(attr(target, "value"), F.lit("")),
+        F.nullif(attr(target, "aria-label"), F.lit("")),
+        F.nullif(target["text_joined"], F.lit(""))))
 
 
 def zip_pairs(a: Column, b: Column) -> Column:

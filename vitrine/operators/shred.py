@@ -50,6 +50,15 @@ HIDDEN_TAGS = frozenset(["script", "style", "template"])
 JOINED_TAGS = frozenset(["button", "label", "input"])
 # Script type whose body is structured data.
 JSONLD_TYPE = "application/ld+json"
+# Scope and property attributes of the two attribute syntaxes.
+SCOPE_ATTRS = {"microdata": ("itemscope", "itemprop"), "rdfa": ("typeof", "property")}
+# Bits of a node's ``below`` mask: one a name, the last for every other element.
+TAG_BITS = {t: i for i, t in enumerate([
+    "a", "abbr", "article", "aside", "b", "blockquote", "body", "br", "button", "caption", "cite", "code", "dd", "del", "div", "dl", "dt", "em",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "i", "img", "input", "ins", "label", "li", "link", "main", "meta",
+    "nav", "ol", "option", "p", "picture", "pre", "s", "script", "section", "select", "small", "source", "span", "strong", "style", "sub", "sup",
+    "table", "tbody", "td", "th", "tr", "ul", "video"])}
+OTHER_BIT = len(TAG_BITS)
 
 
 class _TreeBuilder(HTMLParser):
@@ -73,6 +82,51 @@ class _TreeBuilder(HTMLParser):
         self.hidden = 0
         self.pending: list[str] = []
         self.closed_void: dict[str, int] = {}
+        self.below: list[int] = []
+        #: First element of each id.
+        self.ids: dict[str, int] = {}
+        #: Scopes as (syntax, node, nodes of its own properties), and the open ones of each syntax.
+        self.scopes: list[tuple[str, int, list[int]]] = []
+        self.open_scopes: dict[str, list[tuple[int, list[int]]]] = {s: [] for s in SCOPE_ATTRS}
+        #: Tables as [node, first row, row after the last], rows as the nodes of their first cells (two at most).
+        self.tables: list[list[int]] = []
+        self.open_tables: list[list[int]] = []
+        self.rows: list[list[int]] = []
+        self.short_rows: list[tuple[int, list[int]]] = []
+
+    # -- places that others refer to: each element is looked at once --------
+    def _note(self, i: int, tag: str, amap: dict) -> None:
+        for syntax, (scope, prop) in SCOPE_ATTRS.items():
+            opened = self.open_scopes[syntax]
+            if scope in amap:
+                found = (i, [])
+                opened.append(found)
+                self.scopes.append((syntax, *found))
+            elif prop in amap and opened:
+                opened[-1][1].append(i)
+        if amap.get("id"):
+            self.ids.setdefault(amap["id"], i)
+        if tag in ("td", "th"):
+            # a row leaves the list with its second cell, so this is linear in the page
+            for _, cells in self.short_rows:
+                cells.append(i)
+            self.short_rows = [r for r in self.short_rows if len(r[1]) < 2]
+        elif tag == "tr":
+            self.rows.append([])
+            self.short_rows.append((i, self.rows[-1]))
+        elif tag == "table":
+            table = [i, len(self.rows), len(self.rows)]
+            self.tables.append(table)
+            self.open_tables.append(table)
+
+    def _forget(self, i: int, tag: str) -> None:
+        for opened in self.open_scopes.values():
+            if opened and opened[-1][0] == i:
+                opened.pop()
+        if tag == "tr" and self.short_rows and self.short_rows[-1][0] == i:
+            self.short_rows.pop()
+        elif tag == "table" and self.open_tables and self.open_tables[-1][0] == i:
+            self.open_tables.pop()[2] = len(self.rows)
 
     # -- text -------------------------------------------------------------
     def _flush(self) -> None:
@@ -108,6 +162,8 @@ class _TreeBuilder(HTMLParser):
         self.p0.append(len(self.pieces))
         self.p1.append(len(self.pieces))
         self.stack.append(i)
+        self.below.append(0)
+        self._note(i, tag, amap)
         if tag in HIDDEN_TAGS:
             self.hidden += 1
             if tag == "script" and amap.get("type") == JSONLD_TYPE:
@@ -119,6 +175,9 @@ class _TreeBuilder(HTMLParser):
         self.end[i] = len(self.tag) - 1
         self.t1[i] = self.nbytes
         self.p1[i] = len(self.pieces)
+        if self.stack:
+            self.below[self.stack[-1]] |= self.below[i] | 1 << TAG_BITS.get(self.tag[i], OTHER_BIT)
+        self._forget(i, self.tag[i])
         if self.tag[i] in HIDDEN_TAGS:
             self.hidden -= 1
 
@@ -177,11 +236,13 @@ def _plain_json(raw: str) -> str | None:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def parse_page(html: str, needed_attrs: frozenset[str] | None = None) -> tuple[list[tuple], bytes]:
-    """Parse one page: (node tuples in document order, UTF-8 page text).
+def parse_outline(html: str, needed_attrs: frozenset[str] | None = None) -> tuple[list[tuple], bytes, dict]:
+    """Parse one page: (node tuples in document order, UTF-8 page text, outline).
 
     ``needed_attrs``: keep these attributes only (``class`` also fills the
-    token list); all by default.
+    token list); all by default. The outline has ``scopes`` (syntax, node, nodes
+    of the properties whose innermost scope it is), ``rows`` (their first two
+    cells, or null) and ``tables`` (node, and the range of ``rows`` below it).
     """
     b = _TreeBuilder()
     b.feed(html)
@@ -194,14 +255,23 @@ def parse_page(html: str, needed_attrs: frozenset[str] | None = None) -> tuple[l
         joined = None
         if tag in JOINED_TAGS or (label_targets and a.get("id") in label_targets):
             joined = _joined(b.pieces, b.p0[i], b.p1[i])
+        target = b.ids.get(a.get("for")) if tag == "label" else None
         raw = b.raw.get(i)
         if needed_attrs is not None:
             a = {k: v for k, v in a.items() if k in needed_attrs}
         cls = a.get("class")
         rows.append((i, b.end[i], b.parent[i], b.depth[i], tag, a,
                      cls.split() if cls else [], b.t0[i], b.t1[i], joined,
-                     _plain_json("".join(raw)) if raw is not None else None))
-    return rows, "".join(b.pieces).encode("utf-8")
+                     _plain_json("".join(raw)) if raw is not None else None, b.below[i], target))
+    outline = {"scopes": [{"syntax": s, "ord": i, "props": props} for s, i, props in b.scopes],
+               "tables": [{"ord": i, "r0": r0, "r1": r1} for i, r0, r1 in b.tables],
+               "rows": [{"c1": c[0], "c2": c[1]} if len(c) == 2 else None for c in b.rows]}
+    return rows, "".join(b.pieces).encode("utf-8"), outline
+
+
+def parse_page(html: str, needed_attrs: frozenset[str] | None = None) -> tuple[list[tuple], bytes]:
+    """The nodes and the text of ``parse_outline``."""
+    return parse_outline(html, needed_attrs)[:2]
 
 
 _ARROW_NODE = pa.struct([
@@ -210,12 +280,18 @@ _ARROW_NODE = pa.struct([
     ("attrs", pa.map_(pa.string(), pa.string())),
     ("classes", pa.list_(pa.string())), ("t0", pa.int32()), ("t1", pa.int32()),
     ("text_joined", pa.string()), ("raw", pa.string()),
+    ("below", pa.int64()), ("target", pa.int32()),
+])
+_ARROW_OUTLINE = pa.struct([
+    ("scopes", pa.list_(pa.struct([("syntax", pa.string()), ("ord", pa.int32()), ("props", pa.list_(pa.int32()))]))),
+    ("tables", pa.list_(pa.struct([("ord", pa.int32()), ("r0", pa.int32()), ("r1", pa.int32())]))),
+    ("rows", pa.list_(pa.struct([("c1", pa.int32()), ("c2", pa.int32())]))),
 ])
 
 
 def _nodes_array(pages: list) -> pa.Array:
     """Columnar Arrow build of ARRAY<node> for a batch (None = null row)."""
-    cols = [[] for _ in range(11)]
+    cols = [[] for _ in range(13)]
     akeys, avals, aoff = [], [], [0]
     cvals, coff = [], [0]
     poff, mask = [0], []
@@ -226,7 +302,7 @@ def _nodes_array(pages: list) -> pa.Array:
             continue
         mask.append(False)
         for r in rows:
-            for j in (0, 1, 2, 3, 4, 7, 8, 9, 10):
+            for j in (0, 1, 2, 3, 4, 7, 8, 9, 10, 11, 12):
                 cols[j].append(r[j])
             for k, v in r[5].items():
                 akeys.append(k)
@@ -243,7 +319,8 @@ def _nodes_array(pages: list) -> pa.Array:
         [pa.array(cols[0], i32), pa.array(cols[1], i32), pa.array(cols[2], i32),
          pa.array(cols[3], i32), pa.array(cols[4], pa.string()), attrs, classes,
          pa.array(cols[7], i32), pa.array(cols[8], i32),
-         pa.array(cols[9], pa.string()), pa.array(cols[10], pa.string())],
+         pa.array(cols[9], pa.string()), pa.array(cols[10], pa.string()),
+         pa.array(cols[11], pa.int64()), pa.array(cols[12], i32)],
         fields=list(_ARROW_NODE))
     return pa.ListArray.from_arrays(pa.array(poff, i32), struct,
                                     mask=pa.array(mask, pa.bool_()))
@@ -271,31 +348,34 @@ def _shred_batches(batches: Iterable[pa.RecordBatch], html_col: str, keep: list[
         sizes = [len(v) if (v := x.as_py()) else 0 for x in whole.column(html_col)]
         for lo, hi in _slices(sizes, FLUSH_CHARS):
             rb = whole.slice(lo, hi - lo)
-            pages, texts, errors = [], [], []
+            pages, texts, outlines, errors = [], [], [], []
             for html in rb.column(html_col).to_pylist():
                 if html is None or html == "":
                     pages.append(None)
                     texts.append(None)
+                    outlines.append(None)
                     errors.append("empty html")
                     continue
                 try:
-                    rows, text = parse_page(html, needed_attrs)
+                    rows, text, outline = parse_outline(html, needed_attrs)
                     pages.append(rows)
                     texts.append(text)
+                    outlines.append(outline)
                     errors.append(None)
                 except Exception as exc:  # a bad page is a row, not a failed job
                     pages.append(None)
                     texts.append(None)
+                    outlines.append(None)
                     errors.append(f"shred: {type(exc).__name__}: {exc}")
             arrays = [rb.column(c) for c in keep]
             arrays += [_nodes_array(pages), pa.array(texts, pa.binary()),
-                       pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + ["nodes", "page_text", "shred_error"])
+                       pa.array(outlines, _ARROW_OUTLINE), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + ["nodes", "page_text", "outline", "shred_error"])
 
 
 def shred_pages(df: DataFrame, html_col: str = "html", needed_attrs: Iterable[str] | None = None,
                 num_partitions: int | None = None) -> DataFrame:
-    """H1: one parse per page -> ``nodes ARRAY<node>``, ``page_text`` BINARY, ``shred_error``.
+    """H1: one parse per page -> ``nodes ARRAY<node>``, ``page_text`` BINARY, ``outline``, ``shred_error``.
 
     All other input columns pass through; the HTML column is dropped (it is
     not needed after shredding). Filters on the captures must be applied
@@ -313,6 +393,7 @@ def shred_pages(df: DataFrame, html_col: str = "html", needed_attrs: Iterable[st
         [f for f in df.schema.fields if f.name != html_col]
         + [T.StructField("nodes", schemas.NODES),
            T.StructField("page_text", T.BinaryType()),
+           T.StructField("outline", schemas.OUTLINE),
            T.StructField("shred_error", T.StringType())])
     return df.mapInArrow(lambda it: _shred_batches(it, html_col, keep, needed), out_schema)
 
@@ -348,9 +429,15 @@ def base_url_expr(url_col: str = "url") -> X:
                .otherwise(SF.col(url_col)))
 
 
-def explode_nodes(df: DataFrame, *keep: str) -> DataFrame:
-    """H3: long form, one row per element (``page_id`` + node fields + text)."""
-    cols = [F.col(c) for c in keep]
-    return (df.select(*cols, "page_text", F.inline("nodes"))
-              .withColumn("text", F.expr("CAST(substring(page_text, t0 + 1, t1 - t0) AS STRING)"))
-              .drop("page_text"))
+def explode_nodes(df: DataFrame, *keep: str, with_text: bool = True) -> DataFrame:
+    """H3: long form, one row per element: the kept columns, the node's fields and its ``text``.
+
+    Texts are cut from the page before its rows are spread, so a row carries its
+    own text and never the page. Without ``with_text`` no text is cut.
+    """
+    nodes = F.col("nodes")
+    if with_text:
+        nodes = F.transform(nodes, lambda n: F.struct(
+            *[n[f.name].alias(f.name) for f in schemas.NODE.fields],
+            F.col("page_text").substr(n["t0"] + 1, n["t1"] - n["t0"]).cast("string").alias("text")))
+    return df.select(*[F.col(c) for c in keep], F.inline(nodes))

@@ -86,19 +86,24 @@ _SYNTAX = {
 }
 
 
-def scope_props(syntax: str, nodes="nodes", base_parts="bp") -> Column:
-    """Flat properties of one syntax: STRUCT<owner, names, value> per property
-    element, ``owner`` being the innermost enclosing scope (strict ancestor)."""
-    scope_attr, _, prop_attr = _SYNTAX[syntax]
-    nodes, base = _col(nodes), _col(base_parts)
-    scopes = F.filter(nodes, lambda n: F.map_contains_key(n["attrs"], F.lit(scope_attr)))
-    props = F.filter(nodes, lambda n: F.map_contains_key(n["attrs"], F.lit(prop_attr))
-                     & ~F.map_contains_key(n["attrs"], F.lit(scope_attr)))
-
-    def owner(p):
-        return F.array_max(F.transform(
-            F.filter(scopes, lambda s: (s["ord"] < p["ord"]) & (s["end_ord"] >= p["ord"])),
-            lambda s: s["ord"]))
+def scope_items(syntax: str, nodes="nodes", outline="outline", base_parts="bp") -> Column:
+    """H6/H7: product scopes (type contains 'product') as STRUCT of the flat SCOPE_PROPS;
+    for microdata only top-level scopes (no ``itemprop``) are items.
+
+    The shredder has noted each scope with its own properties (those whose
+    innermost strict ancestor with a scope it is), so every property is read once
+    and the work is linear in the page.
+    """
+    _, type_attr, prop_attr = _SYNTAX[syntax]
+    nodes = _col(nodes)
+
+    def node(place: Column) -> Column:
+        return F.element_at(nodes, place + 1)
+
+    def is_product(s):
+        return let(node(s["ord"]), lambda n: (
+            (~F.map_contains_key(n["attrs"], F.lit("itemprop")) if syntax == "microdata" else F.lit(True))
+            & F.coalesce(F.contains(F.lower(n["attrs"][type_attr]), F.lit("product")), F.lit(False))))
 
     def prop_names(p):
         names = F.split(F.trim(p["attrs"][prop_attr]), "\\s+")
@@ -106,33 +111,23 @@ def scope_props(syntax: str, nodes="nodes", base_parts="bp") -> Column:
             names = F.transform(names, lambda x: F.regexp_extract(x, "([^:/#]*)$", 1))
         return names
 
-    return F.transform(props, lambda p: F.struct(
-        owner(p).alias("owner"), prop_names(p).alias("names"),
-        _scope_value(p, base, syntax).alias("value")))
-
-
-def scope_items(syntax: str, props, nodes="nodes") -> Column:
-    """Product scopes (type contains 'product') as STRUCT of the flat SCOPE_PROPS;
-    for microdata only top-level scopes (no ``itemprop``) are items."""
-    scope_attr, type_attr, _ = _SYNTAX[syntax]
-    props = _col(props)
-
-    def is_product(s):
-        top = (~F.map_contains_key(s["attrs"], F.lit("itemprop")) if syntax == "microdata"
-               else F.lit(True))
-        return top & F.map_contains_key(s["attrs"], F.lit(scope_attr)) & F.coalesce(
-            F.contains(F.lower(s["attrs"][type_attr]), F.lit("product")), F.lit(False))
-
     def named(k):
         return lambda x: F.array_contains(x["names"], k)
 
-    def item(s):
-        mine = F.filter(props, lambda x: F.coalesce(x["owner"] == s["ord"], F.lit(False)))
-        return let(mine, lambda m: F.struct(*[
-            F.try_element_at(F.filter(m, named(k)), F.lit(1))["value"].alias(k)
-            for k in SCOPE_PROPS]))
+    def items(base):
+        def prop(place):
+            return let(node(place), lambda p: F.struct(
+                prop_names(p).alias("names"), _scope_value(p, base, syntax).alias("value")))
+
+        def item(s):
+            return let(F.transform(s["props"], prop), lambda m: F.struct(*[
+                F.try_element_at(F.filter(m, named(k)), F.lit(1))["value"].alias(k) for k in SCOPE_PROPS]))
+
+        scopes = F.filter(_col(outline)["scopes"], lambda s: (s["syntax"] == syntax) & is_product(s))
+        return F.transform(scopes, item)
 
-    return F.transform(F.filter(_col(nodes), is_product), item)
+    # the base is bound outside the lambdas: a staged column read in one place only is merged into it
+    return let(_col(base_parts), items)
 
 
 # ---------------------------------------------------------------- typed JSON-LD
@@ -226,5 +221,5 @@ def meta_first(meta: Column, keys: list[str]) -> Column:
     return F.coalesce(*[meta[k] for k in keys])
 
 
-__all__ = ["jsonld_items", "jsonld_product_nodes", "scope_props", "scope_items",
+__all__ = ["jsonld_items", "jsonld_product_nodes", "scope_items",
            "meta_entries", "meta_map", "meta_first", "N"]

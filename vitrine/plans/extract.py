@@ -23,13 +23,13 @@ from vitrine.operators import fields as P
 from vitrine.operators.shred import base_url_expr, shred_pages
 from vitrine.functions.urls import url_parts
 from vitrine.operators.structured import (jsonld_items, jsonld_product_nodes, jsonld_records,
-                                          meta_map, scope_items, scope_props)
+                                          meta_map, scope_items)
 
 # Fields emptied to NULL at the end.
 NULLABLE_FIELDS = ["title", "price", "old_price", "discount", "currency", "description",
                    "brand", "sku", "stock", "category"]
 
-_WORK = ["base_url", "bp", "jl", "jlt", "md_props", "rd_props", "md", "rd", "meta", "pc", "gp",
+_WORK = ["base_url", "bp", "jl", "jlt", "md", "rd", "meta", "pc", "gp",
          "pairs", "rn", "f_price", "f_old", "f_in_stock"]
 
 
@@ -39,13 +39,11 @@ def with_structured(df: DataFrame) -> DataFrame:
     df = df.select("*", *[e.alias(n).col for n, e in [
         ("bp", url_parts("base_url")),
         ("jl", jsonld_product_nodes(jsonld_items())),
-        ("md_props", scope_props("microdata")),
-        ("rd_props", scope_props("rdfa")),
         ("meta", meta_map())]])
     return df.select("*", *[e.alias(n).col for n, e in [
         ("jlt", jsonld_records("jl")),
-        ("md", scope_items("microdata", "md_props")),
-        ("rd", scope_items("rdfa", "rd_props"))]])
+        ("md", scope_items("microdata")),
+        ("rd", scope_items("rdfa"))]])
 
 
 def product_columns(df: DataFrame) -> DataFrame:
@@ -81,7 +79,7 @@ def product_columns(df: DataFrame) -> DataFrame:
                   c("rn")["review_count"].alias("review_count"),
                   P.review_list().alias("list")).alias("reviews"),
     )
-    keep = [k for k in df.columns if k not in set(_WORK) | {"nodes", "page_text"}]
+    keep = [k for k in df.columns if k not in set(_WORK) | {"nodes", "page_text", "outline"}]
     return stage.select(
         *keep,
         SF.when(c("nodes").isNotNull(), product).alias("product").col,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import vocab
@@ -19,12 +19,13 @@ from vitrine.functions.sqltext import X
 from vitrine.functions.text import (clean_text, contains_any, digits_only, match_colors,
                                     match_sizes, normalise_key)
 from vitrine.functions.urls import resolve_url
+from vitrine.operators import longform as L
 from vitrine.operators import nodes as N
 from vitrine.operators.shred import explode_nodes, node_text, shred_pages
 from vitrine.plans.extract import extract_products
 from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import captures as K
-from vitrine.sources import catalogue, details
+from vitrine.sources import catalogue, details, layouts
 
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +51,7 @@ def page_node_counts(spark, sf):
 
 def tag_histogram(spark, sf):
     """H3: long form, element count per tag over all pages (partial aggregation)."""
-    nodes = explode_nodes(shred_pages(_t(spark, sf, "pages"), needed_attrs=()), "page_id")
+    nodes = explode_nodes(shred_pages(_t(spark, sf, "pages"), needed_attrs=()), "page_id", with_text=False)
     return nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -375,6 +376,77 @@ def response_envelope(spark, sf):
                        "response.debug", F.col("response.data").isNull().alias("no_data"))
 
 
+# ----------------------------------------------------------------- long form (C)
+def _layout_nodes(spark, sf, with_text=True):
+    return explode_nodes(shred_pages(layouts.pages(spark, sf)), "page_id", with_text=with_text)
+
+
+def _clean_node_text():
+    return clean_text(X("text")).col
+
+
+def element_texts(spark, sf):
+    """H3: cleaned text of every title, heading and link, in long form."""
+    nodes = explode_nodes(shred_pages(_t(spark, sf, "pages")), "page_id")
+    return nodes.where(F.col("tag").isin("h1", "a", "title")).select("page_id", "tag", _clean_node_text().alias("text"))
+
+
+def label_targets(spark, sf):
+    """J1 in long form: labels with their targets' texts (repeated and missing ids), and the array form's text beside it."""
+    shredded = shred_pages(layouts.pages(spark, sf))
+    found = L.label_targets(explode_nodes(shredded, "page_id", with_text=False))
+    labels = N.select_nodes(N.all_of(N.tag_in("label"), N.attr_truthy("for")))
+    from vitrine.functions.sqltext import F as SF
+    same = shredded.select("page_id", F.inline(SF.transform(labels, lambda n: SF.struct(
+        n["ord"].alias("ord"), N.label_target_text(n).alias("array_text"))).col))
+    return found.join(same, ["page_id", "ord"]).select("page_id", "ord", "target_text", "array_text")
+
+
+def table_rows(spark, sf):
+    """J2 in long form: each table's rows (of nested tables too) with their first two cells, in order."""
+    nodes = _layout_nodes(spark, sf)
+    is_table, is_row, is_cell = F.col("tag") == "table", F.col("tag") == "tr", F.col("tag").isin("th", "td")
+    rows = L.contained(nodes, is_table, is_row).select("page_id", F.col("outer_ord").alias("table_ord"), F.col("ord").alias("row_ord"))
+    cells = L.contained(nodes, is_row, is_cell).select("page_id", F.col("outer_ord").alias("row_ord"), F.col("ord").alias("cell_ord"))
+    place = F.row_number().over(Window.partitionBy("page_id", "row_ord").orderBy("cell_ord"))
+    first = cells.withColumn("place", place).where("place <= 2")
+    texts = nodes.where(is_cell).select("page_id", F.col("ord").alias("cell_ord"), _clean_node_text().alias("cell"))
+    named = nodes.where(is_table).select("page_id", F.col("ord").alias("table_ord"), F.col("attrs")["id"].alias("table_id"))
+    pairs = (first.join(texts, ["page_id", "cell_ord"]).groupBy("page_id", "row_ord")
+             .agg(F.max(F.when(F.col("place") == 1, F.col("cell"))).alias("key"), F.max(F.when(F.col("place") == 2, F.col("cell"))).alias("value"))
+             .where("value IS NOT NULL"))
+    return rows.join(pairs, ["page_id", "row_ord"]).join(named, ["page_id", "table_ord"]).select("page_id", "table_id", "key", "value")
+
+
+def list_children(spark, sf):
+    """J3 in long form: list items with the kind of the list that is their parent, and how many lists are around them."""
+    nodes = _layout_nodes(spark, sf)
+    is_list, is_item = F.col("tag").isin("ul", "ol"), F.col("tag") == "li"
+    child = L.contained(nodes, is_list, is_item, mode="child")
+    around = L.contained(nodes, is_list, is_item).groupBy("page_id", "ord").agg(F.count(F.lit(1)).alias("n_lists"))
+    kinds = nodes.where(is_list).select("page_id", F.col("ord").alias("outer_ord"), F.col("tag").alias("list_tag"))
+    texts = nodes.where(is_item).select("page_id", "ord", _clean_node_text().alias("text"))
+    return (child.join(kinds, ["page_id", "outer_ord"]).join(texts, ["page_id", "ord"]).join(around, ["page_id", "ord"])
+            .select("page_id", "list_tag", "n_lists", "text"))
+
+
+def leaf_price_candidates(spark, sf):
+    """Leaf elements whose text parses as a price (the mask test in long form)."""
+    found = L.leaves(_layout_nodes(spark, sf), vocab.LEAF_TAGS)
+    texts = found.select("page_id", "tag", _clean_node_text().alias("text"))
+    return texts.select("page_id", "tag", "text", parse_price(X("text")).alias("price").col).where(
+        "price IS NOT NULL AND length(text) <= 20")
+
+
+def pages_with_select(spark, sf):
+    """Pages that have (left semi) or lack (left anti) a real option."""
+    nodes = _layout_nodes(spark, sf)
+    pages = layouts.pages(spark, sf).select("page_id")
+    real = (F.col("tag") == "option") & (F.col("attrs")["value"] != "") & (_clean_node_text() != "")
+    return (L.with_match(pages, nodes, real).select("page_id", F.lit(True).alias("has_option"))
+            .unionByName(L.without_match(pages, nodes, real).select("page_id", F.lit(False).alias("has_option"))))
+
+
 QUERIES: dict[str, Q] = {
     "page_titles": page_titles,
     "page_node_counts": page_node_counts,
@@ -407,6 +479,12 @@ QUERIES: dict[str, Q] = {
     "meta_tags": meta_tags,
     "enabled_buy_buttons": enabled_buy_buttons,
     "response_envelope": response_envelope,
+    "element_texts": element_texts,
+    "label_targets": label_targets,
+    "table_rows": table_rows,
+    "list_children": list_children,
+    "leaf_price_candidates": leaf_price_candidates,
+    "pages_with_select": pages_with_select,
     "products": products,
     "product_json": product_json,
     "captured_titles": captured_titles,
@@ -624,6 +702,25 @@ ORACLES: dict[str, str] = {
         FROM {details.EXPECTED} e""",
     "detail_lists": f"SELECT page_id, images, gallery, characteristics, sizes, colors, styles, patterns FROM {details.EXPECTED} e",
     "detail_reviews": f"SELECT page_id, base_url, rating_average, review_count, reviews FROM {details.EXPECTED} e",
+    "element_texts": "SELECT page_id, tag, " + _clean(_decode("t")) + """ AS text FROM (
+        SELECT page_id, tag, unnest(regexp_extract_all(html, '(?s)<' || tag || '(?: [^>]*)?>(.*?)</' || tag || '>', 1)) AS t
+        FROM pages, (SELECT unnest(['title', 'h1', 'a']) AS tag))""",
+    "label_targets": """SELECT p_partkey AS page_id, o::INTEGER AS ord, t AS target_text, t AS array_text FROM (
+        SELECT p_partkey, unnest([5, 6, 8, 13]) AS o, unnest([p_name, NULL, p_brand || 'x', CAST(p_size AS VARCHAR)]) AS t
+        FROM part WHERE p_partkey % 4 = 0)""",
+    "table_rows": """SELECT p_partkey AS page_id, unnest(['t1', 't1', 't1', 't2']) AS table_id,
+        unnest(['Outer ' || p_partkey, 'Inner', 'Size', 'Inner']) AS key,
+        unnest([p_name || 'Inner' || p_brand || 'thirdalone', p_brand, CAST(p_size AS VARCHAR), p_brand]) AS value
+        FROM part WHERE p_partkey % 4 = 1""",
+    "list_children": """SELECT p_partkey AS page_id, unnest(['ul', 'ul', 'ol']) AS list_tag, unnest([1, 2, 1])::BIGINT AS n_lists,
+        unnest(['onetwo ' || p_partkey, 'two ' || p_partkey, 'three']) AS text FROM part WHERE p_partkey % 4 = 3
+        UNION ALL SELECT p_partkey, 'ul', 1::BIGINT, 'y' || p_partkey FROM part WHERE p_partkey % 4 = 2""",
+    "leaf_price_candidates": "SELECT page_id, tag, text, " + _parse_price_sql("text") + """ AS price FROM (
+        SELECT p_partkey AS page_id, unnest(['span', 'p', 'p', 'b']) AS tag, unnest([printf('%.2f', p_retailprice),
+          printf('%.2f', p_retailprice + p_size), '12 ' || p_size, CAST(p_partkey AS VARCHAR)]) AS text FROM part WHERE p_partkey % 4 = 2
+        UNION ALL SELECT p_partkey, 'td', unnest([p_brand, CAST(p_size AS VARCHAR)]) FROM part WHERE p_partkey % 4 = 1
+        UNION ALL SELECT p_partkey, 'li', 'two ' || p_partkey FROM part WHERE p_partkey % 4 = 3)""",
+    "pages_with_select": "SELECT p_partkey AS page_id, p_partkey % 4 = 3 AS has_option FROM part",
     "response_envelope": """SELECT p_partkey AS request_id, p_partkey % 20 != 19 AS success,
         CASE WHEN p_partkey % 20 = 19 THEN 'no PLAYWRIGHT capture' END AS error,
         CASE WHEN p_partkey % 20 = 19 THEN NULL WHEN p_partkey % 10 = 9 OR p_partkey % 20 = 8 THEN 'PLAYWRIGHT'

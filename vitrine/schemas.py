@@ -25,6 +25,8 @@ CAPTURES = T.StructType([
 # page's UTF-8 ``page_text`` (binary), so text is sliced, never copied per
 # ancestor. ``text_joined`` (pieces stripped and joined) is only filled for
 # button/label/input and label targets; ``raw`` only for JSON-LD scripts.
+# ``below`` has a bit for each element name among the descendants; ``target`` is
+# the place of the first element whose id a label names.
 NODE = T.StructType([
     T.StructField("ord", T.IntegerType()),
     T.StructField("end_ord", T.IntegerType()),
@@ -37,10 +39,25 @@ NODE = T.StructType([
     T.StructField("t1", T.IntegerType()),
     T.StructField("text_joined", S),
     T.StructField("raw", S),
+    T.StructField("below", T.LongType()),
+    T.StructField("target", T.IntegerType()),
 ])
 
 NODES = T.ArrayType(NODE)
 
+# What the shredder notes of a page in its one sweep: each scope with the places
+# of its own properties, each table with its range of ``rows``, each row with the
+# places of its first two cells (NULL with fewer).
+OUTLINE = T.StructType([
+    T.StructField("scopes", T.ArrayType(T.StructType([
+        T.StructField("syntax", S), T.StructField("ord", T.IntegerType()),
+        T.StructField("props", T.ArrayType(T.IntegerType()))]))),
+    T.StructField("tables", T.ArrayType(T.StructType([
+        T.StructField("ord", T.IntegerType()), T.StructField("r0", T.IntegerType()), T.StructField("r1", T.IntegerType())]))),
+    T.StructField("rows", T.ArrayType(T.StructType([
+        T.StructField("c1", T.IntegerType()), T.StructField("c2", T.IntegerType())]))),
+])
+
 VARIANTS = T.StructType([
     T.StructField("size", T.ArrayType(S)),
     T.StructField("color", T.ArrayType(S)),
