@@ -46,7 +46,7 @@ TOP = 2000
 #: Percent of a candidate's occurrences within one longer candidate at which it goes.
 WITHIN = 50
 #: Bytes of text whose windows are counted at a time, before the first shuffle.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 #: A padded place; no word is empty.
 PAD = ""
 _SPACE, _END = 32, 10
@@ -73,9 +73,10 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     starts[begins] = inside[begins]
     first = np.flatnonzero(starts)
     text = np.searchsorted(edges, first, "right") - 1
-    kept = np.concatenate(([0], np.cumsum(inside)))  # bytes of words before a place
-    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(kept[first], kept[-1]).astype(np.int32)), pa.py_buffer(data[inside]))
-    piece = np.cumsum(data == _END)[first]
+    kept = np.zeros(len(data) + 1, np.int32)  # bytes of words before a place
+    np.cumsum(inside, dtype=np.int32, out=kept[1:])
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(kept[first], kept[-1])), pa.py_buffer(data[inside]))
+    piece = np.cumsum(data == _END, dtype=np.int32)[first]
     same = np.zeros(len(first), bool)
     same[:-1] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
     return words, text, same
