@@ -131,3 +131,12 @@ def test_long_text_and_empty(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1400, 0, 0), 2: (2_300_000, 1400, 1), 3: (100, 100, 1)}
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    import pytest
+
+    from vitrine.llm.bwt_dedup import remove_repeats
+
+    with pytest.raises(TypeError, match="whole-numbered"):
+        remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

@@ -115,3 +115,14 @@ def test_edge_rows(spark):
     assert sorted(r["doc_id"] for r in clean(d, b).collect()) == [2, 3, 4, 5]
     assert contaminated(d, b.limit(0)).count() == 0 and clean(d, b.limit(0)).count() == d.count()
     assert contaminated(d.limit(0), b).count() == 0
+
+
+def test_items_with_ids_of_any_type(spark):
+    from vitrine.llm.bm25_decontam import clean, contaminated
+
+    text = "which planet of the inner system turns backwards around its own axis? the planet venus turns backwards very slowly"
+    items = spark.createDataFrame([("q-1", text), (None, "some other question about rivers and lakes? the river nile flows north")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of that kind here")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()] == [(1, "q-1")]
+    assert [r["doc_id"] for r in clean(docs, items).collect()] == [2]
+    assert contaminated(docs, items.limit(0)).schema["item_id"].dataType.simpleString() == "string"

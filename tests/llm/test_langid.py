@@ -87,3 +87,9 @@ def test_edge_rows(spark):
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
     assert {r["lang_pred"] for r in predict(docs, train(docs.limit(0))).collect()} == {"und"}
     assert predict(docs.limit(0), None).count() == 0
+
+
+def test_letters_are_those_of_unicode():
+    from vitrine.llm.langid_bigru import has_letter
+
+    assert [has_letter(x) for x in ("½", "²", "Ⅷ", "1_2", "", "٣", "é", "日", "ª", "ǅ", "-a-")] == [False] * 6 + [True] * 5

@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from vitrine.llm.line_chunks import BASE, DIVISOR, PRIME, dedup_lines
+from vitrine.llm.line_chunks import BASE, DIVISOR, PRIME, REACH, RULES, dedup_lines
 
 
 def plain_chunks(text):
@@ -121,3 +121,64 @@ def test_edge_rows_with_every_pair(spark):
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every_pair=True).collect()
     by = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in out if r["text"] is not None)
     assert len(out) == len(rows) and by == [(-1, "a\nb\nc"), (1, ""), (1, ""), (3, "x\nz"), (4, ""), (5, "q\nr"), (5, "s\nt")]
+
+
+def plain_short(lines, rules, reach):
+    """Spans (from 0) of the short chunks under all rules."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % PRIME for x in lines]
+    r = [(h[i] + (h[i - 1] * BASE % PRIME if i else 0)) % PRIME for i in range(len(h))]
+    out = set()
+    for k in range(rules):
+        for i in range(len(lines) - 1):
+            if r[i + 1] >> k & 1:
+                out |= {(i, j) for j in [next((j for j in range(i + 1, min(len(lines), i + reach)) if r[j] >> (k + 15) & 1), None)] if j is not None}
+    return out
+
+
+def plain_rules(rows, rules, reach):
+    seen, out = set(), {}
+    for i in sorted(rows):
+        lines, spans = plain_chunks(rows[i])
+        gone = set()
+        for a, b in sorted({*spans, *plain_short(lines, rules, reach)}):
+            c = "\n".join(lines[a:b + 1])
+            if c in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(c)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return out
+
+
+def test_short_chunks_find_planted_passages(spark):
+    """Equal to the plain version, and nine of ten planted lines go for every length from two lines on."""
+    rows = corpus()
+    line = iter(f"line {k}" for k in range(10**6))
+    planted = {}
+    for n in range(2, 13):
+        for _ in range(60):
+            passage = [next(line) for _ in range(n)]
+            for copy in range(2):
+                own = [next(line) for _ in range(6)]
+                own[3:3] = passage
+                rows[1000 + 2 * len(planted) + copy] = "\n".join(own)
+            planted[1001 + 2 * len(planted)] = n
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    out = dedup_lines(docs, rules=RULES)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+    got = {r["doc_id"]: (r["text"], r["lines_before"], r["lines_removed"]) for r in out.collect()}
+    assert got == plain_rules(rows, RULES, REACH)
+    exact = plain_pairs(rows)
+    for n in range(2, 13):
+        of = [i for i, k in planted.items() if k == n]
+        assert all(exact[i][2] == n for i in of)
+        assert sum(got[i][2] for i in of) >= 0.9 * sum(exact[i][2] for i in of)
+    assert all(got[i - 1][2] == 0 for i in planted)
+
+
+def test_edge_rows_with_rules(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, None), (None, "a\nb\nc"), (4, ""), (5, "q\nr"), (5, "s\nt"), (6, "one line")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rules=RULES).collect()
+    by = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in out if r["text"] is not None)
+    assert len(out) == len(rows) and by == [(-1, "a\nb\nc"), (1, ""), (1, ""), (4, ""), (5, "q\nr"), (5, "s\nt"), (6, "one line")]
+    assert dedup_lines(spark.createDataFrame([], "doc_id long, text string"), rules=RULES).count() == 0

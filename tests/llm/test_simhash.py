@@ -115,3 +115,16 @@ def test_components_against_a_plain_walk(spark):
     linked = {x for a, b in edges[:-1] if a != b for x in (a, b)}
     assert got == {a: find(a) for a in linked}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_null_id_links_others(spark, monkeypatch):
+    """1 - null - 3 in a chain: neighbours within four bits, the ends further apart."""
+    from pyspark.sql import functions as F
+
+    from vitrine.llm import simhash_trie
+
+    monkeypatch.setattr(simhash_trie, "fingerprint_column", lambda text, shingle: F.conv(text, 16, 10).cast("long"))
+    docs = spark.createDataFrame([(1, "00"), (None, "0f"), (3, "ff"), (4, "ffff00"), (None, "ff000000")], "doc_id long, text string")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash_trie.near_duplicates(docs).collect()}
+    assert got == {(1, 0): 1, (None, 0x0F): 1, (3, 0xFF): 1, (4, 0xFFFF00): 4, (None, 0xFF000000): None}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash_trie.keep_one(docs).collect()) == [(0, "0f"), (0, "ff000000"), (1, "00"), (4, "ffff00")]

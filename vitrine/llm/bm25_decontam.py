@@ -300,11 +300,12 @@ def _words_column(text: Column) -> Column:
     return words(text)
 
 
-def found_in(docs: DataFrame, text: Column, index: Index, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> Column:
-    """Array of the index's items that a text column holds."""
+def found_in(docs: DataFrame, text: Column, index: Index, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP,
+             id_type: str = "bigint") -> Column:
+    """Array of the index's items that a text column holds; ``id_type`` is the type of the items' ids."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    @F.pandas_udf("array<struct<item_id:long,score:double,n_passages:int,question_overlap:double,answer_overlap:double>>")
+    @F.pandas_udf(f"array<struct<item_id:{id_type},score:double,n_passages:int,question_overlap:double,answer_overlap:double>>")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
@@ -319,13 +320,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                  item_id_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE,
                  min_overlap: float = MIN_OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """One row per (document, item it holds): id, item_id, score, n_passages, question_overlap, answer_overlap."""
-    out = None
+    out, id_type = None, items.schema[item_id_col].dataType.simpleString()
     for index in index_shards(items, item_id_col, item_text_col, min_score, shard_chars):
-        rows = docs.select(F.col(id_col), found_in(docs, text_or_empty(text_col), index, min_score, min_overlap).alias("__held"))
+        rows = docs.select(F.col(id_col), found_in(docs, text_or_empty(text_col), index, min_score, min_overlap, id_type).alias("__held"))
         rows = rows.select(id_col, F.inline("__held"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        out = docs.select(F.col(id_col), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("n_passages"),
+        out = docs.select(F.col(id_col), F.lit(None).cast(id_type).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("n_passages"),
                           F.lit(0.0).alias("question_overlap"), F.lit(0.0).alias("answer_overlap")).where(F.lit(False))
     return out
 
@@ -333,7 +334,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
           min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    kept = docs
+    kept, id_type = docs, items.schema[item_id_col].dataType.simpleString()
     for index in index_shards(items, item_id_col, item_text_col, min_score, shard_chars):
-        kept = kept.where(F.size(found_in(docs, text_or_empty(text_col), index, min_score, min_overlap)) == 0)
+        kept = kept.where(F.size(found_in(docs, text_or_empty(text_col), index, min_score, min_overlap, id_type)) == 0)
     return kept

@@ -30,7 +30,7 @@ dealt out anew by its single strings. Buckets grow in number with the bytes of
 the input. Anchors are matched by 40 bits of hash, but what is equal is decided
 byte by byte.
 
-Defined cases: null counts as empty; texts shorter than ``LENGTH`` keep
+Defined cases: ids are whole numbers (another type is refused); null counts as empty; texts shorter than ``LENGTH`` keep
 everything; a null id is neither a source nor shortened; rows that share an id
 don't remove from each other; repeated rows are each answered; very long texts
 are groups of their own and are read in pieces that overlap; other columns are
@@ -49,6 +49,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm.bwt import least_of_repeats
 from vitrine.llm.common import text_or_empty, written
@@ -356,6 +357,8 @@ def _answer_contexts(part: pd.DataFrame, length: int) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES,
                    bucket_bytes: int = BUCKET_BYTES, hot_groups: int = HOT_GROUPS, keep_text: bool = True) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the ``kept`` bytes (binary; null without ``keep_text``)."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}: the order of documents is that of whole-numbered ids")
     packed = written(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)).mapInArrow(
         _pack_documents(group_bytes), "grp string, ids array<long>, lens array<long>, payload binary"), "groups")
     total = packed.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0

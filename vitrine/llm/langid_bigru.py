@@ -21,6 +21,7 @@ pass through ``predict``.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,12 @@ STEPS = 500
 BATCH = 128
 #: Windows that advance together in prediction.
 TOGETHER = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in the text."""
+    return bool(_ASCII_LETTER.search(text)) or any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 @dataclass
@@ -191,7 +197,7 @@ def windows_of(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.
 
 
 def predict_texts(model: BiGru, texts: list[str]) -> tuple[list[str], list[float]]:
-    raw = [(t or "").encode("utf-8", "replace") if t and _LETTER.search(t) else b"" for t in texts]
+    raw = [(t or "").encode("utf-8", "replace") if t and has_letter(t) else b"" for t in texts]
     sums = np.zeros((len(texts), len(model.langs)))
     group, size = [], 0
 
@@ -234,7 +240,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return pd.Series([some(t) for t in texts])
 
-    found = hash_sample(rows, "id", counts, F.col("lang"), per_lang).select("id", "lang", F.explode(cut("text")).alias("raw")).toPandas()
+    found = hash_sample(rows, "id", counts, F.col("lang"), per_lang)
+    # one text an id, so that a repeated id can't unbind the sample
+    found = found.select("id", "lang", cut("text").alias("cut")).groupBy("id").agg(F.min(F.struct("lang", "cut")).alias("row"))
+    found = found.select("id", "row.lang", F.explode("row.cut").alias("raw")).toPandas()
     if not len(found):
         return None
     found["raw"] = [bytes(b) for b in found["raw"]]

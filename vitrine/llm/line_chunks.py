@@ -11,11 +11,18 @@ Chunks of two lines or more are compared over the whole corpus: first by hash
 byte. The occurrence with the smallest (id, line) stays, all others go.
 
 A repeated passage without a whole chunk between two common ends is missed by
-that. With ``every_pair`` nothing is: all pairs of neighbouring lines are
+that. With ``rules`` short chunks are compared as well, in which both ends are
+chosen by what is between them: under each of several independent rules a bit of
+the rolling hash of a line and the next opens a chunk, and another bit of that of
+a line and the one before closes it, at most ``REACH`` lines on. A repeated passage
+holds the same short chunks wherever it stands, so of two lines it is found if one
+rule of them opens and closes there: 1 - (3/4)^rules.
+
+With ``every_pair`` nothing is missed: all pairs of neighbouring lines are
 compared as well, and a line goes if a chunk or pair with it occurs earlier.
-Pairs inside a chunk that occurs earlier are left out beforehand (its first
-occurrence has them all), so long repeats cost what their chunks cost. Here
-spans overlap: the first occurrence of a line always stays, but two lines may
+Short chunks and pairs inside a chunk that occurs earlier are left out beforehand
+(its first occurrence has them all), so long repeats cost what their chunks cost.
+Their spans overlap: the first occurrence of a line always stays, but two lines may
 stay in different documents.
 
 Scale: counts per hash and per text are partial aggregates; the join of a
@@ -41,6 +48,9 @@ from vitrine.llm.common import bound, text_or_empty, written
 #: Lines in the rolling hash; one line in DIVISOR is a possible chunk end.
 WINDOW = 2
 DIVISOR = 2
+#: Independent rules of short chunks (16 at most: bits of the rolling hash), and the lines of one at most.
+RULES = 10
+REACH = 8
 #: Factor of the rolling polynomial and the prime that bounds it.
 BASE = 1_000_003
 PRIME = 2_147_483_647
@@ -100,6 +110,32 @@ def pairs(text: Column) -> Column:
     return bound(lines_of(text), hashed)
 
 
+def short_chunks(text: Column, rules: int = RULES, reach: int = REACH) -> Column:
+    """Array of (first line, last line, hash) of a text's short chunks under all rules; lines count from 1."""
+    def rolled(h: Column) -> Column:
+        # the window of a line and the one before; null for the first line
+        return F.transform(h, lambda x, i: (x % PRIME + F.get(h, i - 1) % PRIME * BASE % PRIME) % PRIME)
+
+    def spans(lines: Column, r: Column) -> Column:
+        n = F.size(lines)
+
+        def ends(first: Column) -> Column:
+            # first counts from 1, so the window that begins with it is r[first]
+            def closing(rule: Column) -> Column:
+                bit = F.lit(1).cast("long")
+                near = F.filter(F.sequence(first + 1, F.least(n, first + reach - 1)), lambda j: F.get(r, j - 1).bitwiseAND(F.call_function("shiftleft", bit, rule + 15)) != 0)
+                return F.when(F.get(r, first).bitwiseAND(F.call_function("shiftleft", bit, rule)) != 0, F.get(near, 0))
+
+            found = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), closing)
+            return F.transform(F.array_distinct(F.filter(found, lambda j: j.isNotNull())), lambda j: F.struct(
+                first.alias("first"), j.alias("last"), F.xxhash64(F.slice(lines, first, j - first + 1)).alias("hash")))
+
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: i < n)
+        return F.flatten(F.transform(starts, ends))
+
+    return bound(lines_of(text), lambda lines: bound(rolled(F.transform(lines, line_hash)), lambda r: spans(lines, r)))
+
+
 def _recurring(found: DataFrame, label: str) -> DataFrame:
     """The rows whose hash occurs more than once."""
     # written, so that both sides of the join are plain exchanges and AQE can split a common hash
@@ -107,24 +143,26 @@ def _recurring(found: DataFrame, label: str) -> DataFrame:
     return found.join(twice, "hash", "left_semi").select("id", "key", "first", "last", "hash")
 
 
-def _recurring_pairs(base: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pairs whose hash occurs more than once, not counting those inside a chunk of ``spans`` that occurs earlier."""
+def _recurring_parts(base: DataFrame, spans: DataFrame, parts: Column) -> DataFrame:
+    """Parts whose hash occurs more than once, not counting those inside a chunk of ``spans`` that occurs earlier."""
     firsts = written(spans.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("keeper")), "line-firsts")
     later = (spans.join(firsts, "hash").where(~F.struct("id", "first").eqNullSafe(F.col("keeper")))
-             .select(F.col("id").alias("id2"), F.col("key").alias("key2"), F.explode(F.expr("sequence(first, last - 1)")).alias("first2")))
-    found = written(_recurring(base.select("id", "key", F.inline(pairs(F.col("text")))), "line-pair-hashes"), "line-pairs")
-    apart = found.join(later, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")) & (F.col("first") == F.col("first2")), "left_anti")
-    return _recurring(written(apart, "line-pairs-apart"), "line-pairs-apart-hashes")
+             .select(F.col("id").alias("id2"), F.col("key").alias("key2"), F.col("last").alias("last2"), F.explode(F.expr("sequence(first, last - 1)")).alias("first2")))
+    found = written(_recurring(base.select("id", "key", F.inline(parts)), "line-part-hashes"), "line-parts")
+    apart = found.join(later, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")) & (F.col("first") == F.col("first2"))
+                       & (F.col("last") <= F.col("last2")), "left_anti")
+    return _recurring(written(apart, "line-parts-apart"), "line-parts-apart-hashes")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False) -> DataFrame:
-    """Chunks (and pairs) to remove: ``(id, key, first, last)``; ``key`` tells texts of one id apart."""
+                    window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False, rules: int = 0) -> DataFrame:
+    """Chunks (and short chunks or pairs) to remove: ``(id, key, first, last)``; ``key`` tells texts of one id apart."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    spans = _recurring(base.select("id", "key", F.inline(chunks(F.col("text"), window, divisor, every_pair))), "line-hashes")
-    if every_pair:
+    spans = _recurring(base.select("id", "key", F.inline(chunks(F.col("text"), window, divisor, every_pair or rules > 0))), "line-hashes")
+    if every_pair or rules:
         spans = written(spans, "line-spans")
-        spans = spans.unionByName(_recurring_pairs(base, spans))
+        parts = pairs(F.col("text")) if every_pair else short_chunks(F.col("text"), rules)
+        spans = spans.unionByName(_recurring_parts(base, spans, parts))
     named = (spans.groupBy("id", "key")
              .agg(F.collect_set(F.struct("first", "last")).alias("spans"))
              .select(F.col("id").alias("id2"), F.col("key").alias("key2"), "spans"))
@@ -140,12 +178,13 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False) -> DataFrame:
+                window: int = WINDOW, divisor: int = DIVISOR, every_pair: bool = False, rules: int = 0) -> DataFrame:
     """``docs`` with repeated chunks cut from the text, and ``lines_before``, ``lines_removed``, ``chunks_removed``.
 
-    With ``every_pair`` every repeated passage of two lines or more goes, and ``chunks_removed`` counts pairs too.
+    With ``rules`` repeated short chunks go too; with ``every_pair`` every repeated passage of two lines or more.
+    ``chunks_removed`` counts them too, but for those within a removed chunk.
     """
-    gone = (repeated_chunks(docs, id_col, text_col, window, divisor, every_pair).groupBy("id", "key")
+    gone = (repeated_chunks(docs, id_col, text_col, window, divisor, every_pair, rules).groupBy("id", "key")
             .agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
             .select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__gone"))
     joined = (docs.withColumn("__text", text_or_empty(text_col))

@@ -156,7 +156,8 @@ def train(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_co
     chosen = hash_sample(trusted, "id", {1: n_trusted}, F.lit(1), per_set)
     # the ids are a bounded sample
     pos = texts.join(F.broadcast(chosen), "id").select("id", F.lit(1).alias("y"), _features_column(F.col("text")).alias("x"))
-    rows = unl.union(pos).toPandas()
+    # one row an id and set, so that a repeated id can't unbind the sample
+    rows = unl.union(pos).groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()
     rows["first"] = [tuple(x) for x in rows["x"]]
     rows = rows.sort_values(["y", "id", "first"])
     part = lambda y: np.array([np.asarray(x) for x in rows.loc[rows["y"] == y, "x"]])

@@ -47,40 +47,45 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"))
 
 
+# Chunks between marked lines, and short chunks under each rule: every repeat but the first goes.
 _OP2_ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), hashed AS (
-  SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
-), marked AS (
+  SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {line_chunks.PRIME}) AS h FROM lines
+), rolled AS (
   SELECT doc_id, l, list_transform(range(1, len(h) + 1), lambda i:
-    ((h[i] % {line_chunks.PRIME} + coalesce(CASE WHEN i > 1 THEN h[i - 1] END % {line_chunks.PRIME} * {line_chunks.BASE} % {line_chunks.PRIME}, 0))
-      % {line_chunks.PRIME}) % {line_chunks.DIVISOR} = 0) AS m FROM hashed
+    (h[i] + coalesce(CASE WHEN i > 1 THEN h[i - 1] END * {line_chunks.BASE} % {line_chunks.PRIME}, 0)) % {line_chunks.PRIME}) AS r FROM hashed
 ), ends AS (
-  SELECT doc_id, l, list_append(list_filter(range(1, len(l) + 1), lambda i: i >= 2 AND i <= len(l) - 2 AND m[i] AND NOT m[i - 1]), len(l)) AS e FROM marked
+  SELECT doc_id, l, list_append(list_filter(range(1, len(l) + 1), lambda i:
+    i >= 2 AND i <= len(l) - 2 AND r[i] % {line_chunks.DIVISOR} = 0 AND r[i - 1] % {line_chunks.DIVISOR} <> 0), len(l)) AS e FROM rolled
 ), spans AS (
   SELECT doc_id, l, unnest(list_transform(range(1, len(e) + 1), lambda k:
     {{'a': CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END, 'b': e[k]}})) AS s FROM ends
+), opened AS (
+  SELECT doc_id, l, r, a, k FROM (SELECT doc_id, l, r, unnest(range(1, len(l))) AS a FROM rolled), (SELECT unnest(range(0, {line_chunks.RULES})) AS k)
+  WHERE r[a + 1] & (1::BIGINT << k) <> 0
+), short AS (
+  SELECT doc_id, l, a, list_filter(range(a + 1, least(len(l), a + {line_chunks.REACH - 1}) + 1), lambda j: r[j] & (1::BIGINT << (k + 15)) <> 0)[1] AS b FROM opened
 ), chunks AS (
-  SELECT doc_id, s.a AS a, s.b AS b, array_to_string(l[s.a:s.b], chr(10)) AS chunk FROM spans WHERE s.b > s.a
+  SELECT DISTINCT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS chunk FROM (
+    SELECT doc_id, l, s.a AS a, s.b AS b FROM spans UNION ALL SELECT doc_id, l, a, b FROM short) WHERE b > a
 ), gone AS (
   SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS r FROM chunks) WHERE r > 1
 ), per_doc AS (
-  SELECT doc_id, list({{'a': a, 'b': b}}) AS g FROM gone GROUP BY doc_id
-), result AS (
-  SELECT d.doc_id, d.l, coalesce(list_sum(list_transform(g, lambda x: x.b - x.a + 1)), 0)::BIGINT AS lines_removed, coalesce(len(g), 0)::BIGINT AS chunks_removed,
-         list_filter(d.l, lambda x, i: g IS NULL OR len(list_filter(g, lambda y: y.a <= i AND i <= y.b)) = 0) AS kept
-  FROM lines d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+  SELECT doc_id, list(DISTINCT k) AS g FROM (SELECT doc_id, unnest(range(a, b + 1)) AS k FROM gone) GROUP BY doc_id
 )
-SELECT doc_id, len(l)::BIGINT AS lines_before, lines_removed, chunks_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM result
+SELECT d.doc_id, len(d.l)::BIGINT AS lines_before, coalesce(len(g), 0)::BIGINT AS lines_removed,
+  sha256(array_to_string(list_filter(d.l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
+FROM lines d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """
 
 
 @query(_OP2_ORACLE)
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
-    out = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "lines_before", "lines_removed", "chunks_removed",
+    out = line_chunks.dedup_lines(table(spark, sf_dir, "documents"), rules=line_chunks.RULES)
+    return out.select("doc_id", "lines_before", "lines_removed",
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -22,8 +22,8 @@ not the pairs: at most one row per fingerprint.
 Defined cases: a null or empty text, or one without words, has fingerprint 0
 and is linked like any other; a text with fewer words than a shingle is one
 shingle; repeated rows are linked with each other (equal fingerprints); a null
-id is fingerprinted and joins its class, but is never a component's id unless
-it stands alone (then null). Columns beside id and text are carried along by
+id is fingerprinted and links others like any id, but is never a component's id
+(of a component of null ids alone it is null). Columns beside id and text are carried along by
 ``keep_one`` and ignored elsewhere.
 """
 
@@ -298,7 +298,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_dista
     prints = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"),
                                  fingerprint_column(text_or_empty(text_col), shingle).alias("fp")), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least"))
-    links = fingerprint_links(classes.where("least IS NOT NULL").select("fp", F.col("fp").alias("node")), max_distance)
+    # fingerprints of null ids alone link others too
+    links = fingerprint_links(classes.select("fp", F.col("fp").alias("node")), max_distance)
     comps = connected_components(links)
     roots = written(classes.join(comps, F.col("fp") == F.col("node"), "left")
                     .select("fp", "least", F.coalesce("component", "fp").alias("root")), "trie-roots")
@@ -320,10 +321,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat id and text leave one row; unlike texts of one id are
     documents of their own. Rows with a null id have no name by which a group
-    could keep them; they stay.
+    could keep them; they stay, though they link others into groups.
     """
     rows = docs.where(F.col(id_col).isNotNull())
-    kept = (_groups(rows, id_col, text_col, shingle, max_distance)[1]
+    kept = (_groups(docs, id_col, text_col, shingle, max_distance)[1].where("keeper IS NOT NULL")
             .select(F.col("keeper.id").alias("__kept"), F.col("keeper.key").alias("__kept_key")).distinct())
     # the key is of the text alone: with it the join's exchange serves the removal of repeated rows too
     named = (rows.withColumn("__key", F.xxhash64(text_col))

@@ -10,12 +10,16 @@ Training: a bounded sample of labelled rows (``PER_LABEL`` of each label, by a
 hash of the id, so the sample does not grow with the table); the terms of the
 sample are hashed on the executors and the numpy fit runs on the driver over
 that bounded sample. Of the terms in ``MIN_DOCS`` sampled texts or more it takes
-those whose share of label 1 is not by chance (``EVIDENCE``), ``LEAST_TERMS`` at
-least and ``MOST_TERMS`` at most. Scoring is one pass of independent tasks over every whole text.
-
-Defined cases: null and empty texts are scored by the bias alone; rows whose
-label or id is null are not learned from, an id that repeats is learned from
-once per row; without any positive or any negative label the score is the share
+those whose share of label 1 is not by chance (``EVIDENCE``), and both terms of
+pairs whose share is not what the two terms' own shares add up to
+(``PAIR_EVIDENCE``, among the ``PAIR_TERMS`` most common): two words that say
+nothing alone may say much together. ``MOST_TERMS`` at most are taken. Scoring is
+one pass of independent tasks over every whole text.
+
+Defined cases: null and empty texts are scored by the bias alone, as are texts
+without a known term; rows whose label or id is null are not learned from, an id
+that repeats (in either table) is learned from once, by its least label and terms,
+so the sample stays bounded; without any positive or any negative label the score is the share
 of positives (0 with no labels at all); other columns pass through ``score``.
 """
 
@@ -41,7 +45,9 @@ PER_LABEL = 3000
 MIN_DOCS = 3
 #: Texts times divergence of a term's share of label 1 from the sample's, in nats: a chance of about one in 1,000.
 EVIDENCE = 7.0
-LEAST_TERMS = 64
+#: The same for a pair's share against what its terms' shares add up to: by chance in none of the pairs of PAIR_TERMS terms.
+PAIR_EVIDENCE = 24.0
+PAIR_TERMS = 4096
 MOST_TERMS = 8192
 EPOCHS = 30
 #: Words that a task remembers the bucket of before it starts afresh.
@@ -78,6 +84,32 @@ def _evidence(ones: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
     return counts * (np.nan_to_num(one) + np.nan_to_num(zero))
 
 
+def _pair_evidence(rows: list[np.ndarray], labels: np.ndarray, ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The strongest evidence of a pair that each term is part of.
+
+    ``rows`` are the texts as places of the terms, whose label-1 and all texts are
+    ``ones`` and ``counts``. A pair is expected to have the log-odds that its terms
+    add to those of all texts; the evidence is the texts that hold both times the
+    divergence of their share from that.
+    """
+    n, m = len(rows), len(counts)
+    share = labels.mean()
+    odds = lambda p: np.log(p / (1 - p))
+    own = odds((ones + share) / (counts + 1)) - odds(share)
+    held = np.zeros((n, m), np.float32)
+    held[np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)] = 1
+    toxic = held[labels == 1]
+    best = np.zeros(m)
+    for lo in range(0, m, 512):  # a stretch of terms against all
+        both, with_one = ((x[:, lo:lo + 512].T @ x).astype(np.float64) for x in (held, toxic))
+        expected = _sigmoid(own[lo:lo + 512, None] + own + odds(share))
+        p = np.clip(with_one / np.maximum(both, 1), 1e-9, 1 - 1e-9)
+        found = both * (p * np.log(p / expected) + (1 - p) * np.log((1 - p) / (1 - expected)))
+        found[np.arange(found.shape[0]), lo + np.arange(found.shape[0])] = 0
+        best[lo:lo + 512] = found.max(axis=1)
+    return best
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -100,11 +132,17 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epo
         return FactorizationMachine(float(np.log((share + 1e-9) / (1 - share + 1e-9))), empty, np.zeros(0), np.zeros((0, factors)))
     buckets, of, counts = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
     ones = np.bincount(of, weights=np.repeat(labels, [len(t) for t in terms]))
-    weight = _evidence(ones, counts, positives / n)
+    weight = _evidence(ones, counts, positives / n) / EVIDENCE
     weight[counts < min_docs] = -1
+    common = np.sort(np.argsort(-np.where(counts < min_docs, -1, counts), kind="stable")[:PAIR_TERMS])
+    common = common[counts[common] >= min_docs]
+    if len(common):
+        place = np.full(len(buckets), -1)
+        place[common] = np.arange(len(common))
+        held = [x[x >= 0] for x in np.split(place[of], np.cumsum([len(t) for t in terms])[:-1])]
+        weight[common] = np.maximum(weight[common], _pair_evidence(held, labels, ones[common], counts[common]) / PAIR_EVIDENCE)
     ranked = np.argsort(-weight, kind="stable")[:MOST_TERMS]
-    taken = max(int((weight[ranked] >= EVIDENCE).sum()), min(LEAST_TERMS, int((weight[ranked] >= 0).sum())))
-    buckets = np.sort(buckets[ranked[:taken]])
+    buckets = np.sort(buckets[ranked[weight[ranked] >= 1]])
     if not len(buckets):
         return FactorizationMachine(float(np.log(positives / (n - positives))), empty, np.zeros(0), np.zeros((0, factors)))
     rows = []
@@ -126,6 +164,8 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epo
             g = err.sum()
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
+            if not len(at):  # no text of the batch holds a known term
+                continue
             used, back = np.unique(at, return_inverse=True)
             e = err[row]
             dw = np.bincount(back, weights=e) + decay * len(pick) * w[used]
@@ -170,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # the sample's ids are bounded, the texts are not: those stay where they are
     rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
-            .select("id", "y", hashed("text").alias("terms")).toPandas())
+            .select("id", "y", hashed("text").alias("terms")).groupBy("id").agg(F.min(F.struct("y", "terms")).alias("row"))
+            .select("id", "row.y", "row.terms").toPandas())
     rows["first"] = [int(t[0]) if len(t) else -1 for t in rows["terms"]]
     rows = rows.sort_values(["id", "first"], kind="stable")  # the fit is the same whatever order rows arrive in
     return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(np.float64))
