@@ -23,8 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks are cut from the text; every row stays, with its new length."""
-    out = line_chunks.dedup_lines(docs).select(*docs.columns)
+    """Repeated line chunks, short ones too, are cut from the text; every row stays, with its new length."""
+    out = line_chunks.dedup_lines(docs, rules=line_chunks.RULES).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
