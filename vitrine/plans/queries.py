@@ -21,6 +21,7 @@ from vitrine.functions.text import (clean_text, contains_any, digits_only, match
 from vitrine.functions.urls import resolve_url
 from vitrine.operators import longform as L
 from vitrine.operators import nodes as N
+from vitrine.operators import vocabulary as L_VOCAB
 from vitrine.operators.shred import explode_nodes, node_text, shred_pages
 from vitrine.plans.extract import extract_products
 from vitrine.session import ensure_checkpoint_dir
@@ -376,6 +377,83 @@ def response_envelope(spark, sf):
                        "response.debug", F.col("response.data").isNull().alias("no_data"))
 
 
+def _spread(df, e):
+    """One row per element of an array expression of structs, beside page_id."""
+    return df.select("page_id", F.inline(e.col))
+
+
+def testid_prices(spark, sf):
+    """Texts of the elements whose test id names a price, but no old one."""
+    from vitrine.functions.sqltext import F as SF
+
+    found = N.select_nodes(N.all_of(N.attr_rlike("data-testid", vocab.TESTID_PRICE_RX), N.not_old_price_marker()))
+    return _spread(shred_pages(catalogue.captures(spark, sf)), SF.transform(found, lambda n: SF.struct(
+        n["attrs"]["data-testid"].alias("testid"), clean_text(node_text(n)).alias("text"))))
+
+
+def definition_lists(spark, sf):
+    """I-th term with i-th value of each definition list, as far as both go."""
+    from vitrine.functions.sqltext import F as SF
+
+    lists = N.select_nodes(N.tag_in("dl"))
+    pairs = SF.flatten(SF.transform(lists, lambda d: N.zip_pairs(N.select_in(d, N.tag_in("dt")), N.select_in(d, N.tag_in("dd")))))
+    return _spread(shred_pages(layouts.pages(spark, sf)), SF.transform(pairs, lambda z: SF.struct(
+        clean_text(node_text(z["a"])).alias("term"), clean_text(node_text(z["b"])).alias("value"))))
+
+
+def select_options(spark, sf):
+    """the real options of the selects of detail and layout pages (with a value, and no placeholder)."""
+    from vitrine.functions.sqltext import F as SF
+
+    def texts(pages):
+        options = N.select_nodes(N.all_of(N.tag_in("option"), N.attr_truthy("value")))
+        named = SF.transform(options, lambda o: SF.struct(o["attrs"]["value"].alias("value"), clean_text(node_text(o)).alias("text")))
+        return _spread(shred_pages(pages), SF.filter(named, lambda o: N.real_option(o["text"])))
+
+    return texts(details.pages(spark, sf)).unionByName(texts(layouts.pages(spark, sf)))
+
+
+def srcset_pick(spark, sf):
+    """What both rules pick from the image lists of the detail pages."""
+    from vitrine.functions.sqltext import F as SF
+    from vitrine.functions.urls import pick_srcset, pick_srcset_hires
+
+    imgs = N.select_nodes(N.all_of(N.tag_in("img"), N.any_of(N.attr_truthy("data-old-hires"), N.attr_truthy("gallery"))))
+    return _spread(shred_pages(details.pages(spark, sf)), SF.transform(imgs, lambda i: SF.struct(
+        pick_srcset_hires(i["attrs"]["data-old-hires"]).alias("hires"), pick_srcset(i["attrs"]["gallery"]).alias("generic"))))
+
+
+def variant_groups(spark, sf):
+    """The dimension that each button group's JSON attribute names (NULL where it is no JSON)."""
+    from vitrine.functions import variant as V
+    from vitrine.functions.sqltext import F as SF
+
+    groups = N.select_nodes(N.all_of(N.tag_in("ul"), N.has_attr("data-a-button-group")))
+    return _spread(shred_pages(details.pages(spark, sf)), SF.transform(groups, lambda u: SF.struct(
+        u["ord"].alias("ord"), V.variant_dimension(u["attrs"]["data-a-button-group"]).alias("dimension"))))
+
+
+def run_counts(spark, sf):
+    """S2/S4 counts while running: requests, captures and answers of one resolution, observed without another pass."""
+    from pyspark.sql import Observation
+
+    seen = {k: Observation(f"{k}_{uuid.uuid4().hex}") for k in ("requests", "captures", "answers")}
+    reqs = catalogue.requests(spark, sf)
+    reqs = reqs.withColumn("strategy", F.expr("CASE request_id % 7 WHEN 1 THEN 'CURL' WHEN 2 THEN 'PLAYWRIGHT' END")).withColumn(
+        "url", F.expr("CASE WHEN request_id % 11 = 3 THEN 'ftp://x' ELSE url END"))
+    K.resolve_captures(catalogue.captures(spark, sf), reqs, seen).write.format("noop").mode("overwrite").save()
+    rows = [(k, n, int(v or 0)) for k, o in seen.items() for n, v in o.get.items()]
+    return spark.createDataFrame(rows, "of string, count string, n long")
+
+
+def vocabulary_hits(spark, sf):
+    """A15 with a vocabulary read from a table: the names and types of all parts within texts about them."""
+    part = _t(spark, sf, "part")
+    texts = part.select("p_partkey", F.expr("concat(p_name, ' or ', p_type, '-x', p_name, ', (', lower(p_brand), ') un', p_type, ' ', p_type)").alias("text"))
+    words = part.select(F.col("p_name").alias("w")).union(part.select("p_type")).union(part.select("p_brand"))
+    return L_VOCAB.match_table(texts, "text", words, "w").select("p_partkey", F.array_join("hits", "|").alias("hits"))
+
+
 # ----------------------------------------------------------------- long form (C)
 def _layout_nodes(spark, sf, with_text=True):
     return explode_nodes(shred_pages(layouts.pages(spark, sf)), "page_id", with_text=with_text)
@@ -479,6 +557,13 @@ QUERIES: dict[str, Q] = {
     "meta_tags": meta_tags,
     "enabled_buy_buttons": enabled_buy_buttons,
     "response_envelope": response_envelope,
+    "testid_prices": testid_prices,
+    "definition_lists": definition_lists,
+    "select_options": select_options,
+    "srcset_pick": srcset_pick,
+    "variant_groups": variant_groups,
+    "run_counts": run_counts,
+    "vocabulary_hits": vocabulary_hits,
     "element_texts": element_texts,
     "label_targets": label_targets,
     "table_rows": table_rows,
@@ -702,6 +787,27 @@ ORACLES: dict[str, str] = {
         FROM {details.EXPECTED} e""",
     "detail_lists": f"SELECT page_id, images, gallery, characteristics, sizes, colors, styles, patterns FROM {details.EXPECTED} e",
     "detail_reviews": f"SELECT page_id, base_url, rating_average, review_count, reviews FROM {details.EXPECTED} e",
+    "testid_prices": """SELECT p_partkey * 2 AS page_id, 'current-price' AS testid, '$' || printf('%.2f', p_retailprice) AS text
+        FROM part WHERE p_partkey % 10 = 5""",
+    "definition_lists": """SELECT p_partkey AS page_id, unnest(['A', 'B']) AS term, unnest([p_brand, CAST(p_size AS VARCHAR)]) AS value
+        FROM part WHERE p_partkey % 4 = 3""",
+    "select_options": """SELECT p_partkey AS page_id, unnest(['2', '3', '4', '5', '1']) AS value, unnest(['S', 'M', 'M', 'L', 'S']) AS text
+        FROM part WHERE p_partkey % 9 = 8 UNION ALL SELECT p_partkey, '1', p_name FROM part WHERE p_partkey % 4 = 3""",
+    "srcset_pick": """SELECT p_partkey AS page_id, unnest(['/h/' || p_partkey || '-b.jpg', '/h/' || p_partkey || '-c.jpg', '/h/' || p_partkey || '-d.jpg',
+        'R0', NULL]) AS hires, unnest([NULL, NULL, NULL, NULL, '/g/' || p_partkey || '-2.jpg']) AS generic FROM part WHERE p_partkey % 9 = 2""",
+    "variant_groups": """SELECT p_partkey AS page_id, unnest([5, 12, 15, 18])::INTEGER AS ord, unnest(['color', 'style', NULL, NULL]) AS dimension
+        FROM part WHERE p_partkey % 9 = 4""",
+    "run_counts": f"""WITH q AS (
+          SELECT p_partkey AS k, p_partkey % 11 = 3 AS bad_url, p_partkey % 7 = 1 AS bad_strategy, p_partkey % 7 = 2 AS pw FROM part
+        ), v AS (SELECT k, pw, k % 20 IN (8, 9) AS has_pw, NOT pw AND k % 10 <> 9 AND k % 20 <> 8 AS httpx FROM q WHERE NOT bad_url AND NOT bad_strategy)
+        SELECT 'requests' AS of, unnest(['n_requests', 'n_valid', 'n_invalid_url', 'n_invalid_strategy']) AS count,
+          unnest([count(*), count_if(NOT bad_url AND NOT bad_strategy), count_if(bad_url), count_if(NOT bad_url AND bad_strategy)])::BIGINT AS n FROM q
+        UNION ALL SELECT 'captures', unnest(['n_captures', 'n_failed', 'n_empty', 'n_shred_errors', 'n_usable', 'n_titled']),
+          unnest([count(*) + count_if(k % 20 IN (8, 9)), count_if(k % 10 = 9), 0, 0, count_if(k % 10 <> 9) + count_if(k % 20 IN (8, 9)),
+                  count_if(k % 10 <> 9 AND k % 20 <> 8) + count_if(k % 20 IN (8, 9))])::BIGINT FROM q
+        UNION ALL SELECT 'answers', unnest(['n_answers', 'n_failed', 'n_httpx', 'n_playwright']),
+          unnest([count(*), count_if(NOT httpx AND NOT has_pw), count_if(httpx), count_if(NOT httpx AND has_pw)])::BIGINT FROM v""",
+    "vocabulary_hits": """SELECT p_partkey, upper(p_name) || '|' || upper(p_type) || '|' || upper(p_brand) || '|' || upper(p_type) AS hits FROM part""",
     "element_texts": "SELECT page_id, tag, " + _clean(_decode("t")) + """ AS text FROM (
         SELECT page_id, tag, unnest(regexp_extract_all(html, '(?s)<' || tag || '(?: [^>]*)?>(.*?)</' || tag || '>', 1)) AS t
         FROM pages, (SELECT unnest(['title', 'h1', 'a']) AS tag))""",

@@ -16,13 +16,14 @@ that is requested very often.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import schemas
 from vitrine.functions import vocab
 from vitrine.functions.urls import is_http_url
 from vitrine.plans.extract import extract_products
+from vitrine.sources.metrics import answer_counts, capture_counts, observed, request_counts
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -38,16 +39,21 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return df.select(*cols)
 
 
-def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Strategy defaults to HTTPX, debug to false; HTTP(S) URL with a host
-    and a known strategy are required. Returns (valid, rejected+reason)."""
+def check_requests(requests: DataFrame) -> DataFrame:
+    """The requests with their defaults (strategy HTTPX, debug false) and
+    ``reject_reason``: NULL where the URL is HTTP(S) with a host and the strategy known."""
     df = requests.withColumn("strategy", F.coalesce(F.col("strategy"), F.lit(vocab.DEFAULT_STRATEGY))) \
                  .withColumn("debug", F.coalesce(F.col("debug"), F.lit(False)))
     url_ok = is_http_url("url").col
     strat_ok = F.col("strategy").isin(*vocab.STRATEGIES)
     reason = (F.when(~url_ok, F.lit("invalid url"))
               .when(~strat_ok, F.lit("invalid strategy")))
-    checked = df.withColumn("reject_reason", reason)
+    return df.withColumn("reject_reason", reason)
+
+
+def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``check_requests`` parted into (valid, rejected+reason)."""
+    checked = check_requests(requests)
     return (checked.where(F.col("reject_reason").isNull()).drop("reject_reason"),
             checked.where(F.col("reject_reason").isNotNull()))
 
@@ -70,21 +76,27 @@ def best_per_url(products: DataFrame) -> DataFrame:
         F.max(playwright).alias("has_pw"))
 
 
-def resolve_captures(captures: DataFrame, requests: DataFrame) -> DataFrame:
+def resolve_captures(captures: DataFrame, requests: DataFrame, observe: dict[str, Observation] | None = None) -> DataFrame:
     """S3: extract all captures, then pick one per request row.
 
+    ``observe`` may name observations for ``requests``, ``captures`` and
+    ``answers``: they hold the counts of ``sources.metrics`` after the action.
+
     Returns request_id, url, debug, strategy_requested, strategy_used,
     product (NULL when nothing usable) and error. The products are the probe
     side of a sort-merge join, never broadcast: their size grows with the data.
     """
     caps = captures.withColumn("html_ok", F.coalesce(F.col("html") != "", F.lit(False)))
-    best = best_per_url(extract_products(caps))
-    valid, _ = validate_requests(requests)
+    observe = observe or {}
+    products = observed(extract_products(caps), observe.get("captures"), capture_counts())
+    best = best_per_url(products)
+    checked = observed(check_requests(requests), observe.get("requests"), request_counts())
+    valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
     joined = valid.withColumnRenamed("strategy", "requested").join(best.hint("merge"), "url", "left")
     # a PLAYWRIGHT request skips the HTTPX capture
     joined = joined.withColumn("httpx", F.when(F.col("requested") != "PLAYWRIGHT", F.col("httpx")))
     product = F.coalesce("httpx", "playwright")
-    return joined.select(
+    answers = joined.select(
         "request_id", "url", "debug", F.col("requested").alias("strategy_requested"),
         F.when(F.col("httpx").isNotNull(), F.lit("HTTPX"))
          .when(F.col("playwright").isNotNull(), F.lit("PLAYWRIGHT")).alias("strategy_used"),
@@ -93,6 +105,7 @@ def resolve_captures(captures: DataFrame, requests: DataFrame) -> DataFrame:
             F.col("pw_error"),
             F.when(~F.coalesce("has_pw", F.lit(False)), F.lit("no PLAYWRIGHT capture")),
             F.lit("PLAYWRIGHT capture unusable"))).alias("error"))
+    return observed(answers, observe.get("answers"), answer_counts())
 
 
 def to_response(resolved: DataFrame) -> DataFrame:
