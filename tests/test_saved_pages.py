@@ -6,7 +6,7 @@ import tempfile
 
 from vitrine.plans.extract import extract_products
 from vitrine.sources import catalogue, saved_pages
-from vitrine.sources.saved_pages import Pages, SavedPagesReader, read_saved_pages
+from vitrine.sources.saved_pages import Pages, FilteringReader, read_saved_pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +53,7 @@ def test_unwanted_pages_are_not_opened(spark, monkeypatch):
 
     rows = [{"page_id": i, "url": f"https://x.example/{i}", "strategy": "HTTPX" if i % 2 else "PLAYWRIGHT", "html": "<p>", "error": None} for i in range(10)]
     folder = save(rows)
-    reader = SavedPagesReader(folder, 4)
+    reader = FilteringReader(folder, 4)
     assert [len(p.names) for p in reader.partitions()] == [4, 4, 2]
     list(reader.pushFilters([EqualTo(("strategy",), "HTTPX"), In(("url",), ("https://x.example/1", "https://x.example/2"))]))
     opened = []

@@ -59,14 +59,6 @@ class SavedPagesReader(DataSourceReader):
         #: Column -> values that a sidecar must have.
         self.wanted: dict[str, set] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                name = f.attribute[0]
-                self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
-            yield f  # rows with a broken sidecar pass, so Spark filters as well
-
     def partitions(self) -> Sequence[InputPartition]:
         from pyarrow import fs
 
@@ -85,6 +77,18 @@ class SavedPagesReader(DataSourceReader):
             yield from _page(files, name, has_html, self.wanted)
 
 
+class FilteringReader(SavedPagesReader):
+    """Spark refuses a reader with ``pushFilters`` unless filters may be pushed."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                name = f.attribute[0]
+                self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
+            yield f  # rows with a broken sidecar pass, so Spark filters as well
+
+
 def _page(files, name: str, has_html: bool, wanted: dict[str, set]) -> Iterator[tuple]:
     """The row of one page, unless its sidecar says that it isn't wanted."""
     try:
@@ -111,7 +115,7 @@ def _page(files, name: str, has_html: bool, wanted: dict[str, set]) -> Iterator[
 
 
 class SavedPages(DataSource):
-    """Format ``saved_pages``: options ``path`` and ``pagesPerPartition``."""
+    """Format ``saved_pages``: options ``path``, ``pagesPerPartition`` and ``filters`` (whether to take pushed ones)."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,10 +128,12 @@ class SavedPages(DataSource):
         per = int(self.options.get("pagesPerPartition", PAGES_PER_PARTITION))
         if per < 1:
             raise ValueError("pagesPerPartition must be positive")
-        return SavedPagesReader(self.options["path"], per)
+        kind = FilteringReader if self.options.get("filters") == "true" else SavedPagesReader
+        return kind(self.options["path"], per)
 
 
 def read_saved_pages(spark: SparkSession, folder: str, pages_per_partition: int = PAGES_PER_PARTITION) -> DataFrame:
     """The captures of a folder of saved pages."""
     spark.dataSource.register(SavedPages)
-    return spark.read.format("saved_pages").option("pagesPerPartition", pages_per_partition).load(folder)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("saved_pages").option("pagesPerPartition", pages_per_partition).option("filters", pushed).load(folder)
