@@ -19,6 +19,12 @@ A meeting returns for each class the weight of its links found there and the
 root of its component within the meeting: at most a row per class, never the
 pairs. Weights add up over meetings, components by the shared component job.
 
+On unclustered vectors nothing condenses: at 64 dimensions and cosines mostly
+within 0.3 of zero a tree is one node, and the blocks are compared in whole, by
+matrix products. Opened down to the link distance such a tree would have about a
+node a vector; its walk prunes over 99 % of the vector pairs, but by testing as many
+node pairs, which costs more than the products (figures in the README).
+
 Scale: no block, task or group grows with the table; the pivots are the only
 broadcast data (``PIVOTS`` vectors at most). Meetings of blocks that bounds
 can't separate are quadratic, as an exact join of unclustered vectors is.
