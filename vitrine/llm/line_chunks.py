@@ -50,7 +50,7 @@ WINDOW = 2
 DIVISOR = 2
 #: Independent rules of short chunks (16 at most: bits of the rolling hash), and the lines of one at most.
 RULES = 10
-REACH = 8
+REACH = 3
 #: Factor of the rolling polynomial and the prime that bounds it.
 BASE = 1_000_003
 PRIME = 2_147_483_647
@@ -120,15 +120,15 @@ def short_chunks(text: Column, rules: int = RULES, reach: int = REACH) -> Column
         n = F.size(lines)
 
         def ends(first: Column) -> Column:
-            # first counts from 1, so the window that begins with it is r[first]
-            def closing(rule: Column) -> Column:
-                bit = F.lit(1).cast("long")
-                near = F.filter(F.sequence(first + 1, F.least(n, first + reach - 1)), lambda j: F.get(r, j - 1).bitwiseAND(F.call_function("shiftleft", bit, rule + 15)) != 0)
-                return F.when(F.get(r, first).bitwiseAND(F.call_function("shiftleft", bit, rule)) != 0, F.get(near, 0))
-
-            found = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), closing)
-            return F.transform(F.array_distinct(F.filter(found, lambda j: j.isNotNull())), lambda j: F.struct(
-                first.alias("first"), j.alias("last"), F.xxhash64(F.slice(lines, first, j - first + 1)).alias("hash")))
+            # first counts from 1, so the window that begins with it is r[first]; past the last line there is none
+            opened, closed, out = F.get(r, first), None, []
+            for more in range(1, reach):
+                closing = F.shiftright(F.get(r, first + (more - 1)), 15)
+                fresh = opened.bitwiseAND(closing) if closed is None else opened.bitwiseAND(closing).bitwiseAND(F.bitwise_not(closed))
+                out.append(F.when(fresh.bitwiseAND(F.lit((1 << rules) - 1)) != 0, F.struct(
+                    first.alias("first"), (first + more).alias("last"), F.xxhash64(F.slice(lines, first, F.lit(more + 1))).alias("hash"))))
+                closed = closing if closed is None else closed.bitwiseOR(closing)
+            return F.filter(F.array(*out), lambda x: x.isNotNull())
 
         starts = F.filter(F.sequence(F.lit(1), n), lambda i: i < n)
         return F.flatten(F.transform(starts, ends))
@@ -148,7 +148,8 @@ def _recurring_parts(base: DataFrame, spans: DataFrame, parts: Column) -> DataFr
     firsts = written(spans.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("keeper")), "line-firsts")
     later = (spans.join(firsts, "hash").where(~F.struct("id", "first").eqNullSafe(F.col("keeper")))
              .select(F.col("id").alias("id2"), F.col("key").alias("key2"), F.col("last").alias("last2"), F.explode(F.expr("sequence(first, last - 1)")).alias("first2")))
-    found = written(_recurring(base.select("id", "key", F.inline(parts)), "line-part-hashes"), "line-parts")
+    every = written(base.select("id", "key", F.inline(parts)), "line-every-part")  # read twice, hashed once
+    found = written(_recurring(every, "line-part-hashes"), "line-parts")
     apart = found.join(later, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")) & (F.col("first") == F.col("first2"))
                        & (F.col("last") <= F.col("last2")), "left_anti")
     return _recurring(written(apart, "line-parts-apart"), "line-parts-apart-hashes")
