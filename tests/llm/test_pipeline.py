@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vitrine.llm.common import written
+from vitrine.llm.line_chunks import REACH, RULES
 from test_decontam import plain_matches
-from test_line_chunks import plain_dedup
+from test_line_chunks import plain_rules
 from test_simhash import plain_components, plain_fingerprint
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -69,7 +70,7 @@ def test_stages_in_order_and_their_columns(spark, sf):
         if name == "toxicity":
             want = {i: t for i, t in want.items() if i not in toxic}
         elif name == "line_dedup":
-            plain = plain_dedup({i: t or "" for i, t in want.items()})
+            plain = plain_rules({i: t or "" for i, t in want.items()}, RULES, REACH)
             want = {i: None if t is None else plain[i][0] for i, t in want.items()}
             assert want[200] == "" and any(x[2] for i, x in plain.items() if i < 100)
         elif name == "simhash_near_dedup":

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import crc_fold
-from vitrine.llm.quality_pu import features, fit, score, train
+from vitrine.llm.quality_pu import features, fit, risk_slope, score, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -19,6 +19,28 @@ def test_prior_and_separation():
     assert fit(pos[:0], unl) is None and fit(pos, unl[:0]) is None
 
 
+def test_slope_is_that_of_the_risk():
+    """Difference quotients of the written-out risk, in both of its branches and without a prior."""
+    rng = np.random.default_rng(1)
+    soft = lambda x: np.logaddexp(0, x)
+    below = lambda g, n, prior: soft(g[n:]).mean() - prior * soft(g[:n]).mean()
+    seen = set()
+    for unl_mean in (2.0, -6.0):
+        for prior in (0.3, 0.9, None):
+            n = 5
+            g = np.concatenate((rng.normal(2, 1, n), rng.normal(unl_mean, 1, n)))
+            if prior is None:
+                risk = lambda g: soft(-g[:n]).mean() + soft(g[n:]).mean()
+            elif below(g, n, prior) >= 0:
+                risk = lambda g: prior * soft(-g[:n]).mean() + below(g, n, prior)
+            else:
+                risk = lambda g: -below(g, n, prior)
+            seen.add(prior and below(g, n, prior) >= 0)
+            want = [(risk(g + d) - risk(g - d)) / 2e-6 for d in np.eye(2 * n) * 1e-6]
+            assert np.allclose(risk_slope(g, n, prior), want, atol=1e-6)
+    assert seen == {None, True, False}
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     learn = crc_fold("doc_id", 5) != 0

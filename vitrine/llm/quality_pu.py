@@ -85,6 +85,23 @@ def _run(params, x):
     return h, h @ c + d[0]
 
 
+def risk_slope(g: np.ndarray, n: int, prior: float | None) -> np.ndarray:
+    """Slope in the logits ``g`` (``n`` positives, then as many unlabelled) of the risk.
+
+    The risk is prior * mean softplus(-g) of the positives plus the negatives' part,
+    mean softplus(g) of the unlabelled less prior * that of the positives. Where that
+    part is below zero, the step is back up it alone. Without a prior: the plain
+    risk of positives against unlabelled.
+    """
+    up = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # d softplus(g)
+    gp, gu = up[:n], up[n:]
+    if prior is None:
+        return np.concatenate((gp - 1, gu)) / n
+    bad = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
+    rest = np.concatenate((-prior * gp, gu)) / n
+    return np.concatenate((prior * (gp - 1), np.zeros(n))) / n + rest if bad >= 0 else -rest
+
+
 def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int, batch: int = 256) -> list[np.ndarray]:
     """Adam on the non-negative risk, or for no prior on the plain risk of positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -94,14 +111,7 @@ def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int,
         xp, xu = pos[rng.integers(0, len(pos), batch)], unl[rng.integers(0, len(unl), batch)]
         x = np.concatenate((xp, xu))
         h, g = _run(params, x)
-        up = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # d softplus(g)
-        gp, gu = up[:batch], up[batch:]
-        if prior is None:
-            dg = np.concatenate((gp - 1, gu)) / batch
-        else:
-            bad = np.logaddexp(0, g[batch:]).mean() - prior * np.logaddexp(0, g[:batch]).mean()
-            rest = np.concatenate((-prior * gp, gu)) / batch
-            dg = np.concatenate((prior * (gp - 1), np.zeros(batch))) / batch + rest if bad >= 0 else -rest
+        dg = risk_slope(g, batch, prior)
         dh = dg[:, None] * params[2] * (1 - h * h)
         grads = [x.T @ dh + 1e-4 * params[0], dh.sum(0), h.T @ dg + 1e-4 * params[2], np.array([dg.sum()])]
         rate = 0.01 * (1 - t / steps) + 1e-4
