@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.common import written
-from vitrine.llm.token_words import SPACE, byte_tokens, json_tokenizer, piece_tokenizer, ranges, slices
+from vitrine.llm.token_words import MEMO_WORDS, SPACE, byte_tokens, json_tokenizer, piece_tokenizer, ranges, slices
 
 #: A tokens of a lane, about; the steps of a batch are some three times as many.
 LANE = 256
@@ -156,6 +156,7 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = json_tokenizer(a_data, plain_specials=True, before=" "), piece_tokenizer(b_data)
+        self.a.most_words = self.b.most_words = MEMO_WORDS // 2  # two memories in a worker
         model = sentencepiece.SentencePieceProcessor(model_proto=b_data)
         pieces = range(model.get_piece_size())
         self.a_bytes = _Spelled(byte_tokens(a_data))

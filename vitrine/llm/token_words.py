@@ -63,6 +63,7 @@ class Words:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[pa.Array], pa.Array] | None = None,
                  joins: Callable[[str], bool] | None = None, cut: Callable[[str], list[str]] = lambda text: [text], before: str = ""):
         self.encode, self.split, self.joins, self.cut, self.before = encode, split, joins, cut, before
+        self.most_words = MEMO_WORDS
         self._clear()
 
     def _clear(self) -> None:
@@ -90,7 +91,7 @@ class Words:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) one after the other, and how many each text has; the ids are those of ``before`` + text."""
-        if len(self.memo) > MEMO_WORDS or self.chars > MEMO_CHARS:
+        if len(self.memo) > self.most_words or self.chars > MEMO_CHARS:
             self._clear()
         if self.split is None:
             cuts = [self.cut(self.before + t) for t in texts.to_pylist()]
