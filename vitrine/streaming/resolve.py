@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vitrine import schemas
@@ -188,5 +187,3 @@ def stream_resolved(captures: DataFrame, requests: DataFrame, out_dir: str, chec
     finally:
         spark.conf.set(PROVIDER_KEY, before)
 
-
-__all__ = ["Resolver", "resolve_stream", "stream_resolved", "T"]
