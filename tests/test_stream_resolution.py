@@ -135,7 +135,7 @@ def test_stream_equals_batch_in_any_order_with_a_restart(spark):
 
     def start():
         read = [spark.readStream.schema(s).parquet(f"{src}/{k}") for k, s in (("captures", schemas.CAPTURES), ("requests", schemas.REQUESTS))]
-        return stream_resolved(*read, out, ckpt, wait_seconds=75, keep_seconds=600, at_once=False)
+        return stream_resolved(*read, out, ckpt, wait_seconds=90, keep_seconds=600, at_once=False)
 
     def arrived(query, rows):
         """Wait until that many rows were read (timers keep the query busy, so it never has nothing to do)."""
@@ -153,7 +153,7 @@ def test_stream_equals_batch_in_any_order_with_a_restart(spark):
         query.stop()  # midway
         deliver(parts[half:])
         query = start()
-        until = time.time() + 240
+        until = time.time() + 300
         while time.time() < until and query.exception() is None:
             time.sleep(3)
             got = spark.read.parquet(out).collect() if spark._jvm.java.io.File(f"{out}/_spark_metadata").exists() else []
