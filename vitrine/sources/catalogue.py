@@ -122,23 +122,31 @@ def _html_expr() -> str:
     return f"CASE p_partkey % 10 {cases} END"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly before their pages are rendered.
+
+    A row of ``part`` takes a few bytes and its page thousands, so a table of
+    millions of pages has but a file split or two, and each was a single task.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, 2 * spark.sparkContext.defaultParallelism))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages of the catalogue: an HTTPX row for every part, plus
     PLAYWRIGHT rows where FIXTURES.md defines them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    url = f"concat('{SHOP}/item/', CAST(p_partkey AS STRING), '?ref=x')"
-    httpx = part.selectExpr(
-        "p_partkey * 2 AS page_id", f"{url} AS url", "'HTTPX' AS strategy",
-        f"CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE {_html_expr()} END AS html",
-        "CASE WHEN p_partkey % 10 = 9 THEN 'HTTP 503 Service Unavailable' END AS error")
+    httpx = part.withColumn("strategy", F.lit("HTTPX"))
+    playwright = part.where("p_partkey % 20 IN (8, 9)").withColumn("strategy", F.lit("PLAYWRIGHT"))
     full0 = sql_template(STYLES[0])
     full8 = sql_template(STYLE8_FULL)
-    playwright = (part.where("p_partkey % 20 IN (8, 9)")
-                  .selectExpr("p_partkey * 2 + 1 AS page_id", f"{url} AS url",
-                              "'PLAYWRIGHT' AS strategy",
-                              f"CASE WHEN p_partkey % 20 = 9 THEN {full0} ELSE {full8} END AS html",
-                              "CAST(NULL AS STRING) AS error"))
-    return httpx.unionByName(playwright)
+    return dealt(httpx.unionByName(playwright)).selectExpr(
+        "p_partkey * 2 + CASE WHEN strategy = 'HTTPX' THEN 0 ELSE 1 END AS page_id",
+        f"concat('{SHOP}/item/', CAST(p_partkey AS STRING), '?ref=x') AS url", "strategy",
+        f"CASE WHEN strategy = 'PLAYWRIGHT' THEN CASE WHEN p_partkey % 20 = 9 THEN {full0} ELSE {full8} END "
+        f"WHEN p_partkey % 10 = 9 THEN NULL ELSE {_html_expr()} END AS html",
+        "CASE WHEN strategy = 'HTTPX' AND p_partkey % 10 = 9 THEN 'HTTP 503 Service Unavailable' END AS error")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

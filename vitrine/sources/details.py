@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.sources.catalogue import _HEAD, SHOP, sql_template
+from vitrine.sources.catalogue import _HEAD, SHOP, dealt, sql_template
 
 STYLES = {
     0: _HEAD + '<title>{name}</title><base href="https://cdn.example.com/shop/"><link rel="canonical" href="item/{key}">'
@@ -68,7 +68,7 @@ STYLES = {
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, html of the detail pages."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"))
     cases = " ".join(f"WHEN {s} THEN {sql_template(t)}" for s, t in STYLES.items())
     return part.selectExpr("p_partkey AS page_id", f"concat('{SHOP}/d/', CAST(p_partkey AS STRING)) AS url",
                            f"CASE p_partkey % 9 {cases} END AS html")

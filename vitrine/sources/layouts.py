@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.sources.catalogue import _HEAD, SHOP, sql_template
+from vitrine.sources.catalogue import _HEAD, SHOP, dealt, sql_template
 
 STYLES = {
     0: _HEAD + '<title>{name}</title></head><body><label for="a{key}"></label><label for="gone"></label><label>no id</label>'
@@ -33,7 +33,7 @@ STYLES = {
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, html of the layout pages."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"))
     cases = " ".join(f"WHEN {s} THEN {sql_template(t)}" for s, t in STYLES.items())
     return part.selectExpr("p_partkey AS page_id", f"concat('{SHOP}/l/', CAST(p_partkey AS STRING)) AS url",
                            f"CASE p_partkey % 4 {cases} END AS html")
