@@ -46,8 +46,13 @@ def with_structured(df: DataFrame) -> DataFrame:
         ("rd", scope_items("rdfa"))]])
 
 
-def product_columns(df: DataFrame) -> DataFrame:
-    """All field jobs over a frame that has the structured columns."""
+def product_columns(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """All field jobs over a frame that has the structured columns.
+
+    With ``fields`` (top-level fields of the product) they are columns of these names
+    in place of ``product``, and only their jobs run: of a struct of which
+    two fields are read Catalyst keeps every field.
+    """
     stage = df.select("*", *[e.alias(n).col for n, e in [
         ("pc", P.price_candidates()),
         ("gp", P.gallery_parts()),
@@ -57,40 +62,44 @@ def product_columns(df: DataFrame) -> DataFrame:
     stage = stage.select("*", P.price(X("pc")).alias("f_price").col)
     stage = stage.select("*", P.old_price(X("f_price")).alias("f_old").col)
     c = X
-    product = SF.struct(
-        c("url").alias("product_url"),
-        P.canonical_url().alias("canonical_url"),
-        nonempty(P.title()).alias("title"),
-        nonempty(c("f_price")).alias("price"),
-        nonempty(c("f_old")).alias("old_price"),
-        nonempty(P.discount(c("f_price"), c("f_old"))).alias("discount"),
-        nonempty(P.currency(c("pc"))).alias("currency"),
-        nonempty(P.description()).alias("description"),
-        P.images(c("gp")).alias("images"),
-        c("gp")["all"].alias("gallery"),
-        nonempty(P.brand(c("pairs"))).alias("brand"),
-        nonempty(P.sku(c("pairs"))).alias("sku"),
-        c("f_in_stock").alias("availability"),
-        SF.when(c("f_in_stock"), SF.lit("InStock")).otherwise(SF.lit("OutOfStock")).alias("stock"),
-        nonempty(P.category()).alias("category"),
-        P.variants().alias("variants"),
-        P.characteristics(c("pairs")).alias("characteristics"),
-        SF.struct(c("rn")["rating_average"].alias("rating_average"),
-                  c("rn")["review_count"].alias("review_count"),
-                  P.review_list().alias("list")).alias("reviews"),
-    )
+    values = {
+        "product_url": c("url"),
+        "canonical_url": P.canonical_url(),
+        "title": nonempty(P.title()),
+        "price": nonempty(c("f_price")),
+        "old_price": nonempty(c("f_old")),
+        "discount": nonempty(P.discount(c("f_price"), c("f_old"))),
+        "currency": nonempty(P.currency(c("pc"))),
+        "description": nonempty(P.description()),
+        "images": P.images(c("gp")),
+        "gallery": c("gp")["all"],
+        "brand": nonempty(P.brand(c("pairs"))),
+        "sku": nonempty(P.sku(c("pairs"))),
+        "availability": c("f_in_stock"),
+        "stock": SF.when(c("f_in_stock"), SF.lit("InStock")).otherwise(SF.lit("OutOfStock")),
+        "category": nonempty(P.category()),
+        "variants": P.variants(),
+        "characteristics": P.characteristics(c("pairs")),
+        "reviews": SF.struct(c("rn")["rating_average"].alias("rating_average"),
+                             c("rn")["review_count"].alias("review_count"),
+                             P.review_list().alias("list")),
+    }
+    if fields is None:
+        wanted = {"product": SF.struct(*[v.alias(k) for k, v in values.items()])}
+    else:
+        wanted = {k: values[k] for k in dict.fromkeys(fields)}
     keep = [k for k in df.columns if k not in set(_WORK) | {"nodes", "page_text", "outline"}]
     return stage.select(
         *keep,
-        SF.when(c("nodes").isNotNull(), product).alias("product").col,
+        *[SF.when(c("nodes").isNotNull(), v).alias(k).col for k, v in wanted.items()],
         SF.when(c("nodes").isNotNull(), P.declared_stock()).alias("declared_stock").col)
 
 
-def products_from_shredded(shredded: DataFrame) -> DataFrame:
-    return product_columns(with_structured(shredded))
+def products_from_shredded(shredded: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    return product_columns(with_structured(shredded), fields)
 
 
-def extract_products(captures: DataFrame, html_col: str = "html") -> DataFrame:
-    """Captures (url, html, ...) -> same rows + ``product`` STRUCT,
-    ``declared_stock`` and ``shred_error``."""
-    return products_from_shredded(shred_pages(captures, html_col))
+def extract_products(captures: DataFrame, html_col: str = "html", fields: list[str] | None = None) -> DataFrame:
+    """Captures (url, html, ...) -> same rows + ``product`` STRUCT (or its ``fields``
+    as columns), ``declared_stock`` and ``shred_error``."""
+    return products_from_shredded(shred_pages(captures, html_col), fields)
