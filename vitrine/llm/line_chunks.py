@@ -188,8 +188,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = (repeated_chunks(docs, id_col, text_col, window, divisor, every_pair, rules).groupBy("id", "key")
             .agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
             .select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__gone"))
-    joined = (docs.withColumn("__text", text_or_empty(text_col))
-              .join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__key")), "left"))
+    # a row takes its text through the shuffle once, and is read as empty only after it
+    joined = (docs.withColumn("__text_key", F.xxhash64(text_or_empty(text_col)))
+              .join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+              .withColumn("__text", text_or_empty(text_col)))
     out = F.array_distinct(F.flatten(F.transform("__gone", lambda s: F.sequence(s["first"], s["last"]))))
     kept = bound(lines_of(F.col("__text")), lambda lines: F.transform(
         F.array_except(F.sequence(F.lit(1), F.size(lines)), out), lambda i: F.get(lines, i - 1)))
