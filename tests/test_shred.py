@@ -1,6 +1,11 @@
 """H1 tree rule and text offsets."""
 
+import random
+from html.parser import HTMLParser
+
+from vitrine.operators import shred
 from vitrine.operators.shred import parse_page
+from vitrine.plans import queries
 
 TRAPS = ('<html><head><title>T &amp; U</title><script>var t="</p>";</script>'
          '<style>p{}</style></head><body><p><b>Bold<br><p>x &copy; y</p></b>'
@@ -72,3 +77,43 @@ def test_output_is_cut_by_size():
     from vitrine.operators.shred import _slices
     assert list(_slices([3, 3, 3, 9, 0, 1], 5)) == [(0, 2), (2, 4), (4, 6)]
     assert list(_slices([], 5)) == []
+
+
+ODD = ["<p>", "</p>", "<DIV Class=\"Q&amp;A\" id='x'>", "</DIV>", "</div >", "<br>", "<br/>", "<img src=a/>", "<input disabled value=\"v\" disabled>",
+       "<script type=\"application/ld+json\">", "{\"a\": 1}", "</script>", "<style>", "</style>", "<!-- c -->", "<!--", "-->", "<!DOCTYPE html>", "<![CDATA[ x ]]>",
+       "<?pi ?>", "<?", "<", ">", "&", "&amp;", "&notit;", " a < b ", "\xe9", "\xa0", "<a\xa0b>", "<a b=\"x>y\">", "<a b=\"x", "'", "<a b = 'c'>", "<a b='1'c='2'>",
+       "<label for=\"x\">", "</label>", "<button id=\"x\">", "<table>", "<tr>", "<td>", "</td>", "</tr>", "</table>", "<div itemscope>", "<i itemprop='n'>", "</", "</>",
+       "</1>", "<1>", "<a/b>", "<x:y z>", "<script/>", "</br>", "<a \x00=\"1\">", "<p a=''b>", "<title>", "</title>"]
+
+
+def test_plain_tags_read_at_once_give_the_standard_parsers_nodes(monkeypatch):
+    def parsed(html):
+        try:
+            return shred.parse_outline(html)
+        except Exception as exc:  # a bad page is an error either way
+            return repr(exc)
+
+    rand = random.Random(3)
+    pages = ["".join(rand.choices(ODD, k=rand.randrange(1, 30))) for _ in range(1500)]
+    quick = [parsed(p) for p in pages]
+    monkeypatch.setattr(shred._TreeBuilder, "_plain", lambda self: 0)  # the standard loop alone
+    assert quick == [parsed(p) for p in pages]
+
+
+def test_plain_tags_do_not_pass_through_the_standard_parser(monkeypatch):
+    seen = []
+    read = HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: seen.append(i) or read(self, i))
+    rows, text = parse_page("<html><script>if (a < b) {}</script>" + "<p class='a' id=\"b\">x &amp; y</p><br/>" * 500 + "<p x=y></p>")
+    assert len(rows) == 1003 and text == b"x & y" * 500
+    assert len(seen) == 2  # the script and the bare value
+
+
+def test_definition_lists_serialise_no_attributes(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(3, "a", "Brand#1", "t", 7, 1.0), (7, "b", None, "t", 8, 1.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .write.parquet(f"{tmp_path}/part.parquet")
+    asked = []
+    monkeypatch.setattr(queries, "shred_pages", lambda df, **kw: asked.append(kw) or shred.shred_pages(df, **kw))
+    rows = queries.QUERIES["definition_lists"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(3, "A", "Brand#1"), (3, "B", "7")]  # a page with a null value is null
+    assert asked == [{"needed_attrs": ()}]

@@ -392,7 +392,7 @@ def definition_lists(spark, sf):
 
     lists = N.select_nodes(N.tag_in("dl"))
     pairs = SF.flatten(SF.transform(lists, lambda d: N.zip_pairs(N.select_in(d, N.tag_in("dt")), N.select_in(d, N.tag_in("dd")))))
-    return _spread(shred_pages(layouts.pages(spark, sf)), SF.transform(pairs, lambda z: SF.struct(
+    return _spread(shred_pages(layouts.pages(spark, sf), needed_attrs=()), SF.transform(pairs, lambda z: SF.struct(
         clean_text(node_text(z["a"])).alias("term"), clean_text(node_text(z["b"])).alias("value"))))
 
 
