@@ -61,3 +61,16 @@ def test_jobs_of_other_fields_do_not_run(spark, parts):
     unseen = next(a for a in vocab.GALLERY_IMG_ATTRS if a not in str(catalogue.STYLES))  # no word of the pages themselves
     assert unseen not in _plan(QUERIES["product_stock"](spark, parts[0]))
     assert unseen in _plan(QUERIES["product_images"](spark, parts[0]))
+
+
+def test_title_does_not_read_the_other_jsonld_values(spark, parts):
+    assert "highPrice" not in _plan(QUERIES["product_title"](spark, parts[0]))  # no word of the pages themselves
+    assert "highPrice" in _plan(QUERIES["product_price"](spark, parts[0]))
+
+
+def test_jsonld_values_keep_their_products_order(spark):
+    html = ('<script type="application/ld+json">[{"@type": "Product", "sku": "s", "offers": {"price": "1", "availability": "InStock"}},'
+            '{"@type": "Product", "name": "n", "sku": "t", "offers": [{"price": "2"}, {"price": "3", "availability": "OutOfStock"}]}]</script>')
+    caps = spark.createDataFrame([(1, "https://x.example/", html)], "page_id long, url string, html string")
+    row = extract_products(caps, fields=["title", "sku", "price"]).first()
+    assert (row.title, row.sku, row.price, row.declared_stock) == ("n", "s", "1", "OutOfStock")

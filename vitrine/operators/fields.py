@@ -1,9 +1,9 @@
 """One Column job per product field, over a shredded page row.
 
 Expected columns: ``url``, ``bp`` (the base URL split by ``url_parts``),
-``nodes``, ``page_text`` and the structured columns ``jlt`` (typed JSON-LD
-product records), ``md`` / ``rd`` (microdata / RDFa items) and ``meta`` (meta
-map) -- see ``plans.extract``.
+``nodes``, ``page_text`` and the structured columns ``jl_name`` and so on (a typed
+value of each JSON-LD product), ``md`` / ``rd`` (microdata / RDFa items) and ``meta``
+(meta map) -- see ``plans.extract``.
 
 Each field is written as precedence over candidates, in the order the
 sources are consulted: JSON-LD, microdata, RDFa, meta, marketplace rules,
@@ -46,7 +46,7 @@ def _first_ctext(node: Column) -> Column:
 
 def _jl_first(key: str) -> Column:
     """First non-null value of ``key`` across the JSON-LD product records."""
-    return first_nonnull(F.transform(F.col("jlt"), lambda p: p[key]))
+    return first_nonnull(F.col(f"jl_{key}"))
 
 
 def _scope_first(key: str, f=None) -> Column:
@@ -64,7 +64,7 @@ def _meta(field: str, parse=None) -> Column:
 
 
 def _all_offers() -> Column:
-    return F.flatten(F.transform(F.col("jlt"), lambda p: p["offers"]))
+    return F.flatten(F.col("jl_offers"))
 
 
 # ---------------------------------------------------------------- P1
@@ -217,7 +217,7 @@ def gallery_parts() -> Column:
 
 def images(gp: Column) -> Column:
     """JSON-LD images, then meta images; if none, the first two of the gallery."""
-    jl_imgs = F.transform(F.flatten(F.transform(F.col("jlt"), lambda p: p["images"])), _resolve)
+    jl_imgs = F.transform(F.flatten(F.col("jl_images")), _resolve)
     meta_imgs = F.filter(F.array(*[F.when(F.col("meta")[k].isNotNull(), _resolve(F.col("meta")[k]))
                                    for k in vocab.META_IMAGE_KEYS]),
                          lambda u: u.isNotNull())
@@ -463,5 +463,5 @@ def _review_numbers(amz: Column, jl_rating: Column, jl_count: Column) -> Column:
 
 def review_list() -> Column:
     """P20: JSON-LD reviews with text, equal ones once."""
-    revs = F.flatten(F.transform(F.col("jlt"), lambda p: p["reviews"]))
+    revs = F.flatten(F.col("jl_reviews"))
     return F.array_distinct(F.filter(revs, lambda x: F.coalesce(x["text"] != "", F.lit(False))))

@@ -134,8 +134,8 @@ def scope_items(syntax: str, nodes="nodes", outline="outline", base_parts="bp")
 REVIEW_TYPE = "array<struct<author:string,date:string,rating:string,text:string>>"
 
 
-def jsonld_record(p: Column) -> Column:
-    """The values the field jobs read from one JSON-LD product node, typed once.
+def jsonld_record(p: Column) -> dict[str, Column]:
+    """The values the field jobs read from one JSON-LD product node, typed, by name.
 
     name / description / category: cleaned when truthy; sku: first truthy key
     of the fixed list; brand: string or ``{name}``; images: raw URLs (string or
@@ -185,18 +185,23 @@ def jsonld_record(p: Column) -> Column:
         F.filter(V.as_list(f("review")), V.is_object), review)).otherwise(F.array().cast(REVIEW_TYPE))
 
     sku = F.coalesce(*[V.str_if_truthy(f(k)) for k in vocab.JSONLD_SKU_KEYS])
-    return F.struct(
-        nonempty(V.clean_value(f("name"))).alias("name"),
-        nonempty(V.clean_value(f("description"))).alias("description"),
-        nonempty(clean_text(sku)).alias("sku"),
-        nonempty(V.scalar_or_object(f("brand"), "name")).alias("brand"),
-        nonempty(V.clean_value(f("category"))).alias("category"),
-        images.alias("images"), offers.alias("offers"),
-        rating.alias("rating"), count.alias("count"), reviews.alias("reviews"))
-
-
-def jsonld_records(products) -> Column:
-    return F.transform(_col(products), jsonld_record)
+    return {
+        "name": nonempty(V.clean_value(f("name"))),
+        "description": nonempty(V.clean_value(f("description"))),
+        "sku": nonempty(clean_text(sku)),
+        "brand": nonempty(V.scalar_or_object(f("brand"), "name")),
+        "category": nonempty(V.clean_value(f("category"))),
+        "images": images, "offers": offers,
+        "rating": rating, "count": count, "reviews": reviews}
+
+
+JSONLD_VALUES = ["name", "description", "sku", "brand", "category", "images", "offers", "rating", "count", "reviews"]
+
+
+def jsonld_values(products) -> dict[str, Column]:
+    """Each value of ``jsonld_record`` as the array of it over the product nodes: a column
+    for each, so that the values a query doesn't read are not computed."""
+    return {k: F.transform(_col(products), lambda p: jsonld_record(p)[k]) for k in JSONLD_VALUES}
 
 
 # ---------------------------------------------------------------- H8

@@ -22,14 +22,14 @@ from vitrine.functions.text import nonempty
 from vitrine.operators import fields as P
 from vitrine.operators.shred import base_url_expr, shred_pages
 from vitrine.functions.urls import url_parts
-from vitrine.operators.structured import (jsonld_items, jsonld_product_nodes, jsonld_records,
-                                          meta_map, scope_items)
+from vitrine.operators.structured import (JSONLD_VALUES, jsonld_items, jsonld_product_nodes,
+                                          jsonld_values, meta_map, scope_items)
 
 # Fields emptied to NULL at the end.
 NULLABLE_FIELDS = ["title", "price", "old_price", "discount", "currency", "description",
                    "brand", "sku", "stock", "category"]
 
-_WORK = ["base_url", "bp", "jl", "jlt", "md", "rd", "meta", "pc", "gp",
+_WORK = ["base_url", "bp", "jl", *[f"jl_{k}" for k in JSONLD_VALUES], "md", "rd", "meta", "pc", "gp",
          "pairs", "rn", "f_price", "f_old", "f_in_stock"]
 
 
@@ -41,7 +41,7 @@ def with_structured(df: DataFrame) -> DataFrame:
         ("jl", jsonld_product_nodes(jsonld_items())),
         ("meta", meta_map())]])
     return df.select("*", *[e.alias(n).col for n, e in [
-        ("jlt", jsonld_records("jl")),
+        *[(f"jl_{k}", v) for k, v in jsonld_values("jl").items()],
         ("md", scope_items("microdata")),
         ("rd", scope_items("rdfa"))]])
 
