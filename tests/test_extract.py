@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from vitrine.plans.extract import extract_products
 from vitrine.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,15 @@ def test_errors_are_those_of_the_lowest_page(spark):
                                  "page_id long, url string, strategy string, html string, error string").repartition(3)
     req = spark.createDataFrame([(1, "https://x.example/", None, None)] * 2, "request_id long, url string, strategy string, debug boolean")
     assert [r["error"] for r in K.resolve_captures(caps, req).collect()] == ["e3", "e3"]
+
+
+def test_gallery_searches_a_pages_images_once(spark):
+    from vitrine.operators import fields as P
+
+    assert P.gallery_parts().sql.count("IN ('img')") == 1
+    html = ('<img data-old-hires="/a.jpg"><img data-old-hires="data:x"><img gallery="" zoom="/b.jpg 1x, /c.jpg 2x"><img main="/a.jpg">'
+            '<img data-old-hires="/d.jpg"><img data-old-hires="/e.jpg"><img data-old-hires="">')
+    rows = spark.createDataFrame([(1, "https://x.example/p", html), (2, "https://x.example/p", "<p>none</p>"), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: (r.images, r.gallery) for r in extract_products(rows, fields=["images", "gallery"]).collect()}
+    u = "https://x.example"
+    assert got == {1: ([f"{u}/a.jpg", f"{u}/d.jpg"], [f"{u}/a.jpg", f"{u}/d.jpg", f"{u}/e.jpg", f"{u}/c.jpg"]), 2: ([], []), 3: (None, None)}

@@ -197,22 +197,21 @@ def declared_stock() -> Column:
 # ---------------------------------------------------------------- P10, P11
 def gallery_parts() -> Column:
     """P10: STRUCT<marketplace, generic> gallery lists (resolved, ordered distinct)."""
-    imgs = N.select_nodes(N.tag_in("img"))
-
     def hires(i):
         s = i["attrs"]["data-old-hires"]
         return F.when(F.coalesce(s != "", F.lit(False)) & ~s.startswith("data:"),
                       _resolve(pick_srcset_hires(s)))
 
-    amz = F.array_distinct(F.filter(F.transform(imgs, hires),
-                                    lambda u: u.isNotNull() & N.not_data_uri(u)))
-
     def generic(i):
-        s = F.coalesce(*[nonempty(i["attrs"][a]) for a in vocab.GALLERY_IMG_ATTRS])
-        return F.when(s.isNotNull() & ~s.startswith("data:"), _resolve(pick_srcset(s)))
+        return let(F.coalesce(*[nonempty(i["attrs"][a]) for a in vocab.GALLERY_IMG_ATTRS]), lambda s: F.when(
+            s.isNotNull() & ~s.startswith("data:"), _resolve(pick_srcset(s))))
+
+    def parts(imgs):
+        amz = F.array_distinct(F.filter(F.transform(imgs, hires), lambda u: u.isNotNull() & N.not_data_uri(u)))
+        gen = F.filter(F.transform(imgs, generic), lambda u: u.isNotNull())
+        return let(amz, lambda a: F.struct(a.alias("amz"), F.array_distinct(F.concat(a, gen)).alias("all")))
 
-    gen = F.filter(F.transform(imgs, generic), lambda u: u.isNotNull())
-    return F.struct(amz.alias("amz"), F.array_distinct(F.concat(amz, gen)).alias("all"))
+    return let(N.select_nodes(N.tag_in("img")), parts)
 
 
 def images(gp: Column) -> Column:
@@ -222,9 +221,9 @@ def images(gp: Column) -> Column:
                                    for k in vocab.META_IMAGE_KEYS]),
                          lambda u: u.isNotNull())
     base = F.array_distinct(F.concat(jl_imgs, meta_imgs))
-    return (F.when(F.size(base) > 0, base)
-            .when(F.size(gp["amz"]) > 0, F.slice(gp["amz"], 1, 2))
-            .otherwise(F.slice(gp["all"], 1, 2)))
+    return let(base, lambda found: F.when(F.size(found) > 0, found)
+               .when(F.size(gp["amz"]) > 0, F.slice(gp["amz"], 1, 2))
+               .otherwise(F.slice(gp["all"], 1, 2)))
 
 
 # ---------------------------------------------------------------- P15
