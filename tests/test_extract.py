@@ -90,3 +90,17 @@ def test_gallery_searches_a_pages_images_once(spark):
     got = {r.page_id: (r.images, r.gallery) for r in extract_products(rows, fields=["images", "gallery"]).collect()}
     u = "https://x.example"
     assert got == {1: ([f"{u}/a.jpg", f"{u}/d.jpg"], [f"{u}/a.jpg", f"{u}/d.jpg", f"{u}/e.jpg", f"{u}/c.jpg"]), 2: ([], []), 3: (None, None)}
+
+
+def test_variants_read_each_group_once(spark):
+    from vitrine.operators import fields as P
+
+    assert P.variants().sql.count("try_parse_json") == 1
+    li = '<li data-asin="a"><b class="swatch-title-text-display">%s</b></li>'
+    html = ("<ul data-a-button-group='{\"name\": \"size_name\"}'>" + li % "XL" + li % "XL" + "</ul><ul data-a-button-group='size'>" + li % "S" + "</ul>"
+            "<ul data-a-button-group='Style_Name'>" + li % "Slim" + "</ul><ul data-a-button-group='{}'>" + li % "lost" + "</ul>"
+            '<select id="size"><option value="1">M</option><option value="2">M</option><option value="3">S</option></select>'
+            '<select name="color"><option value="1">Teal</option></select><button>xl red</button><button>L teal</button>')
+    rows = spark.createDataFrame([(1, "https://x.example/p", html), (2, "https://x.example/p", "<p>none</p>"), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r.variants and tuple(r.variants) for r in extract_products(rows, fields=["variants"]).collect()}
+    assert got == {1: (["XL", "S", "M", "M", "L"], ["Teal", "RED", "TEAL"], ["Slim"], []), 2: ([], [], [], []), 3: None}

@@ -151,7 +151,6 @@ def offer_stock(offer: Column) -> Column:
 
 def variant_dimension(attr: Column) -> Column:
     """JSON attribute -> its ``name`` lower-cased without ``_name``; bad JSON -> NULL."""
-    v = F.try_parse_json(attr)
-    name = F.when(F.schema_of_variant(field(v, "name")) == "STRING",
-                  F.try_variant_get(v, "$.name", "string"))
+    name = let(F.try_parse_json(attr), lambda v: F.when(
+        F.schema_of_variant(field(v, "name")) == "STRING", F.try_variant_get(v, "$.name", "string")))
     return strip_suffix(name, "_name")

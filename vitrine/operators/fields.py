@@ -329,9 +329,17 @@ def category() -> Column:
 
 
 # ---------------------------------------------------------------- P16-P18
-def _group_values(dim_of, dimension: str, colour_alt: bool) -> Column:
+def _named_groups() -> Column:
+    """The button groups with the dimension that each rule reads: the marketplace's from the
+    JSON attribute, the generic one from the bare attribute."""
     groups = N.select_nodes(N.all_of(N.tag_in("ul"), N.has_attr("data-a-button-group")))
+    return F.transform(groups, lambda u: F.struct(
+        u["ord"].alias("ord"), u["end_ord"].alias("end_ord"),
+        V.variant_dimension(u["attrs"]["data-a-button-group"]).alias("amz"),
+        strip_suffix(F.coalesce(u["attrs"]["data-a-button-group"], F.lit("")), "_name").alias("gen")))
 
+
+def _group_values(groups: Column, rule: str, dimension: str, colour_alt: bool) -> Column:
     def li_value(li):
         text = nonempty(_first_ctext(N.first_in(li, N.has_class("swatch-title-text-display"))))
         if colour_alt:
@@ -340,19 +348,16 @@ def _group_values(dim_of, dimension: str, colour_alt: bool) -> Column:
             return F.coalesce(nonempty(clean_text(img["attrs"]["alt"])), text)
         return text
 
-    chosen = F.filter(groups, lambda u: F.coalesce(dim_of(u) == dimension, F.lit(False)))
+    chosen = F.filter(groups, lambda u: F.coalesce(u[rule] == dimension, F.lit(False)))
     return F.flatten(F.transform(chosen, lambda u: F.filter(
         F.transform(N.select_in(u, N.all_of(N.tag_in("li"), N.has_attr("data-asin"))), li_value),
         lambda v: v.isNotNull())))
 
 
-def _button_groups(dimension: str) -> Column:
+def _button_groups(groups: Column, dimension: str) -> Column:
     """Marketplace (JSON attribute) then generic (bare attribute) groups."""
-    amz = _group_values(lambda u: V.variant_dimension(u["attrs"]["data-a-button-group"]),
-                        dimension, colour_alt=(dimension == "color"))
-    gen = _group_values(lambda u: strip_suffix(F.coalesce(u["attrs"]["data-a-button-group"],
-                                                          F.lit("")), "_name"),
-                        dimension, colour_alt=False)
+    amz = _group_values(groups, "amz", dimension, colour_alt=(dimension == "color"))
+    gen = _group_values(groups, "gen", dimension, colour_alt=False)
     return F.array_distinct(F.concat(amz, gen))
 
 
@@ -383,14 +388,16 @@ def _any_kw(fields: list[Column], words: list[str]) -> Column:
 
 
 def variants() -> Column:
-    """STRUCT<size, color, style, pattern>."""
-    size1 = _button_groups("size")
-    color1 = _button_groups("color")
+    """STRUCT<size, color, style, pattern>.
+
+    Groups, texts and the values so far are bound: read within a lambda they would
+    be computed again for every element."""
     size_lists = _select_lists(lambda p: _any_kw(p, vocab.SELECT_SIZE_KEYWORDS))
     color_lists = _select_lists(lambda p: ~_any_kw(p, vocab.SELECT_SIZE_KEYWORDS)
                                 & _any_kw(p, vocab.SELECT_COLOR_KEYWORDS))
-    size2 = F.aggregate(size_lists, size1, lambda acc, o: F.concat(acc, minus_keep_dups(o, acc)))
-    color2 = F.aggregate(color_lists, color1, lambda acc, o: F.concat(acc, minus_keep_dups(o, acc)))
+
+    def with_lists(values, lists):
+        return F.aggregate(lists, values, lambda acc, o: F.concat(acc, minus_keep_dups(o, acc)))
 
     els = N.select_nodes(N.tag_in("button", "label", "input"))
 
@@ -401,14 +408,15 @@ def variants() -> Column:
 
     texts = F.filter(F.transform(els, el_text), lambda t: t.isNotNull())
 
-    def add_hits(current, rx):
+    def add_hits(values, texts, rx):
         hits = F.array_distinct(F.flatten(F.transform(texts, lambda t: match_vocab(t, rx))))
-        return F.concat(current, minus_keep_dups(hits, current))
+        return let(values, lambda current: F.concat(current, minus_keep_dups(hits, current)))
 
-    return F.struct(add_hits(size2, SIZES_RX).alias("size"),
-                    add_hits(color2, COLORS_RX).alias("color"),
-                    _button_groups("style").alias("style"),
-                    _button_groups("pattern").alias("pattern"))
+    return let(_named_groups(), lambda g: let(texts, lambda t: F.struct(
+        add_hits(with_lists(_button_groups(g, "size"), size_lists), t, SIZES_RX).alias("size"),
+        add_hits(with_lists(_button_groups(g, "color"), color_lists), t, COLORS_RX).alias("color"),
+        _button_groups(g, "style").alias("style"),
+        _button_groups(g, "pattern").alias("pattern"))))
 
 
 # ---------------------------------------------------------------- P19, P20
